@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash
+from . import decontaminate, sharding, simhash, telephony, warc
 from .common import table
 
 
+def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telephony.describe(telephony.store(table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,7 +31,7 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash, op6_minimax_shards, op8_positional_index)}
+    return {f.__name__: f for f in (op2_warc_chunks, op3_telephony, op5_simhash, op6_minimax_shards, op8_positional_index)}
 
 
 def oracle_sql() -> dict[str, str]:
