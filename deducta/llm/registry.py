@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash, telephony, warc
+from . import decontaminate, sharding, simhash, substrings, telephony, warc
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_chunks, op3_telephony, op5_simhash, op6_minimax_shards, op8_positional_index)}
+    return {f.__name__: f for f in (op2_warc_chunks, op3_telephony, op5_simhash, op6_minimax_shards, op8_positional_index, op10_de_bruijn)}
 
 
 def oracle_sql() -> dict[str, str]:
