@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, simhash, substrings, telephony, warc
+from . import decontaminate, packing, pii, sharding, simhash, substrings, telephony, toxicity, warc
 from .common import table
 
 
@@ -36,16 +36,25 @@ def op6_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_nonnegative_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bm25_packing, op2_warc_chunks, op3_telephony, op5_simhash, op6_minimax_shards, op8_positional_index, op10_de_bruijn)}
+    return {f.__name__: f for f in (op1_bm25_packing, op2_warc_chunks, op3_telephony, op5_simhash, op6_minimax_shards, op7_pii_boosting, op8_positional_index, op9_nonnegative_pu, op10_de_bruijn)}
 
 
 def oracle_sql() -> dict[str, str]:
