@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, pii, sharding, simhash, substrings, telephony, toxicity, warc
+from . import decontaminate, packing, pii, pseudo_likelihood, sharding, simhash, substrings, telephony, toxicity, warc
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.describe(telephony.store(table(spark, sf_dir, "documents")))
 
 
+def op4_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,7 @@ def op10_de_bruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bm25_packing, op2_warc_chunks, op3_telephony, op5_simhash, op6_minimax_shards, op7_pii_boosting, op8_positional_index, op9_nonnegative_pu, op10_de_bruijn)}
+    return {f.__name__: f for f in (op1_bm25_packing, op2_warc_chunks, op3_telephony, op4_masked_likelihood, op5_simhash, op6_minimax_shards, op7_pii_boosting, op8_positional_index, op9_nonnegative_pu, op10_de_bruijn)}
 
 
 def oracle_sql() -> dict[str, str]:
