@@ -48,3 +48,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """Where a file of the installed public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -171,7 +171,7 @@ def _blocks(items: DataFrame, window: int) -> Iterator[tuple]:
     size = 0
     for item, text in items.toLocalIterator():
         words = words_of(bytes(text))
-        step = BLOCK_WORDS - window
+        step = max(1, BLOCK_WORDS - window) if window < len(words) else len(words) + 1
         for k in range(0, max(1, len(words) - window + 1), step):
             piece = words[k : k + step + window - 1]
             held.append((item, b" ".join(piece)))

@@ -38,15 +38,18 @@ BEST = 64
 K1, B = 1.2, 0.75
 SHARDS = "shard long, doc_ids array<long>, sizes binary, ids binary, terms binary, found binary"
 
-_PLAIN = re.compile("([a-zà-öø-ÿœ]+)([!-&(-/:-@\\[-`{-~]*)")
-_CACHED = 300_000  # words whose ids a worker remembers
+_PLAIN = re.compile("[a-zà-öø-ÿœ]+")
+#: A stop or comma after anything but a Latin letter, a digit or white space: there a run of signs goes on.
+_SIGNS = re.compile(rb"[.,](?:(?<=[^A-Za-z0-9\s\x80-\xff][.,])|(?<=[\x80-\xff][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))")
+_CACHED = 1_000_000  # words whose ids a worker remembers
 
 
 class WordTokenizer:
     """Ids of texts under a tokenizer that drops white space, lower-cases and never joins words.
 
-    White-space-separated words are tokenized alone and remembered.  New words of plain letters and
-    punctuation are encoded together: each of their parts ends with an end-of-word id.
+    White-space-separated words are tokenized alone and remembered, without a stop or comma at their
+    end where that is a token boundary.  New words of plain letters are encoded together: each of them
+    ends with an end-of-word id.
     """
 
     def __init__(self, path: str):
@@ -61,52 +64,42 @@ class WordTokenizer:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u2") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: set[bytes]) -> None:
-        parts, words = self.parts, self.words
-        split, rest, unknown = [], [], {}
-        match = _PLAIN.fullmatch
+        plain, rest = [], []
         for w in new:
-            m = match(w.decode())
-            if not m:
-                rest.append(w)
-                continue
-            letters, signs = m.groups()
-            split.append((w, letters, signs))
-            if letters not in parts:
-                unknown[letters] = 1
-            if signs and signs not in parts:
-                unknown[signs] = 1
-        if unknown:
-            (ids,) = self._encode([" ".join(unknown)])
+            (plain if w.isalpha() or _PLAIN.fullmatch(w.decode()) else rest).append(w)
+        if plain:
+            (ids,) = self._encode([b" ".join(plain).decode()])
             cuts = (np.flatnonzero(self.ends[ids]) + 1) * 2
-            if len(cuts) != len(unknown):
+            if len(cuts) != len(plain):
                 raise ValueError("a word does not end with one end-of-word id")
-            raw, at = ids.tobytes(), 0
-            for part, end in zip(unknown, cuts.tolist(), strict=True):
-                parts[part] = raw[at:end]
-                at = end
-        for w, letters, signs in split:
-            words[w] = parts[letters] + parts[signs] if signs else parts[letters]
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            self.words.update(zip(plain, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
         if rest:
-            for w, ids in zip(rest, self._encode([w.decode() for w in rest]), strict=True):
-                words[w] = ids.tobytes()
+            self.words.update(zip(rest, [x.tobytes() for x in self._encode([w.decode() for w in rest])], strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each UTF-8 text."""
-        # A-Z are lowered before the words are remembered, but not where that could spell a special token
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        split = []
+        for t in texts:
+            if not _SIGNS.search(t):
+                t = t.replace(b".", b" .").replace(b",", b" ,")
+            # lowering A-Z first keeps the cache small, but must not spell a special token
+            split.append((t if b"<|" in t else t.lower()).split())
         if len(self.words) > _CACHED:
-            self.words, self.parts = {}, {}
-        new = set().union(*split) - self.words.keys()
-        if new:
-            self._learn(new)
-        get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+            self.words = {}
+        get = self.words.get
+        found = [list(map(get, w)) for w in split]
+        late = [k for k, x in enumerate(found) if None in x]
+        if late:
+            self._learn(set().union(*(split[k] for k in late)) - self.words.keys())
+            for k in late:
+                found[k] = map(get, split[k])
+        return [b"".join(x) for x in found]
 
 
 @lru_cache(maxsize=2)
@@ -196,13 +189,23 @@ class Index:
         order = np.argsort(self.doc, kind="stable")
         self.own = np.searchsorted(self.terms, term[order])  # the terms of each document
         self.of = np.concatenate([[0], np.cumsum(np.bincount(self.doc, minlength=len(sizes)))])
+        # terms of an eighth of the documents or more as full rows: at most eight times the postings
+        found = np.diff(self.begin)
+        full = np.flatnonzero(found * 8 >= len(sizes))
+        self.row = np.full(len(self.terms), -1)
+        self.row[full] = np.arange(len(full))
+        at = np.flatnonzero(np.repeat(self.row >= 0, found))
+        self.full = np.zeros((len(full), len(sizes)))
+        self.full[np.repeat(np.arange(len(full)), found[full]), self.doc[at]] = self.weight[at]
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every document for the seed's distinct terms."""
         terms = self.own[self.of[seed] : self.of[seed + 1]]
+        row = self.row[terms]
+        terms = terms[row < 0]
         first, n = self.begin[terms], self.begin[terms + 1] - self.begin[terms]
         at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-        return np.bincount(self.doc[at], self.weight[at], minlength=len(self.of) - 1)
+        return np.bincount(self.doc[at], self.weight[at], minlength=len(self.of) - 1) + self.full[row[row >= 0]].sum(axis=0)
 
 
 def fill(index: Index, sizes: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:

@@ -7,17 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, packing, pii, pseudo_likelihood, sharding, simhash, substrings, telephony, toxicity, warc
-from .common import table
-
-
-def _tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+from .common import table, tokenizer_file
 
 
 def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer_file())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

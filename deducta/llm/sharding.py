@@ -77,10 +77,12 @@ class _Sums:
             wanted.append((c, self.known[g] - self.base[c], self.known[g + 1] - self.base[c]))
         inside = (F.col("reach") > F.col("low")) & (F.col("reach") <= F.col("high"))
         part = F.floor((F.col("reach") - F.col("low") - 1) * parts / (F.col("high") - F.col("low"))).alias("part")
-        found = self._ask(wanted, inside, [part], F.max("reach").alias("reach"), F.count(F.lit(1)).alias("n"))
+        found = self._ask(wanted, inside, [part], F.min("reach").alias("first"), F.max("reach").alias("last"), F.count(F.lit(1)).alias("n"))
         solid = dict(zip(self.known[1:], self.solid, strict=True))
-        for r in found:
-            solid[self.base[wanted[r.j][0]] + r.reach] = r.n == 1
+        for r in found:  # no group ends between a part's first sum and the last one of the part before
+            base = self.base[wanted[r.j][0]]
+            solid[base + r.last] = r.n == 2
+            solid[base + r.first] = True
         self.known = [0, *sorted(solid)]
         self.solid = [solid[x] for x in self.known[1:]]
 
