@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators.fixpoint import Fixpoint, cut
 from .plans.analysis import analyse
-from .plans.ast import Atom, DatalogError, Rule, Var
+from .plans.ast import Atom, DatalogError, Literal, Rule, Var
 from .plans.compiler import UNIT, Relations, body, columns_of, name, scan
 from .plans.magic import demand
 from .plans.parser import parse, parse_goal
@@ -199,9 +199,62 @@ class TabledEngine(MagicEngine):
         return len(lost)
 
 
+class SlgEngine:
+    """Answers under the well-founded semantics: negation may be recursive.
+
+    Only the rules that the goal's predicate reads are evaluated.  ``query`` gives the true and the
+    undefined bindings; ``violations`` the same for each constraint.
+    """
+
+    goal_directed = True
+
+    def __init__(self, spark: SparkSession, text: str | list[Rule], facts: Facts | None = None):
+        self.spark = spark
+        stated, self.external = split_facts(facts)
+        self.clauses = list(dict.fromkeys([*(parse(text) if isinstance(text, str) else text), *stated]))
+        self.program = analyse(self.clauses, {p: len(d.columns) for p, d in self.external.items()}, stratified=False)
+
+    def _model(self, preds: set[str]) -> tuple[Relations, Relations]:
+        from .operators.wellfounded import well_founded
+
+        reads = {p: {x.atom.pred for r in self.program.rules if r.head.pred == p for x in r.body if not x.atom.comparison} for p in self.program.arity}
+        todo, reach = list(preds), set()
+        while todo:
+            p = todo.pop()
+            if p not in reach:
+                reach.add(p)
+                todo += reads.get(p, ())
+        clauses = [c for c in self.clauses if c.head and c.head.pred in reach]
+        true, undefined = well_founded(self.spark, clauses, {p: d for p, d in self.external.items() if p in reach})
+        return true, undefined
+
+    def query(self, goal: str | Atom) -> tuple[DataFrame, DataFrame]:
+        atom = check_query(parse_goal(goal) if isinstance(goal, str) else goal, self.program.arity)
+        true, undefined = self._model({atom.pred})
+        rows = true[atom.pred]
+        return answers_frame(atom, rows), answers_frame(atom, undefined.get(atom.pred, rows.limit(0)))
+
+    def violations(self) -> list[tuple[Rule, DataFrame, DataFrame]]:
+        """For each constraint, what breaks it for sure, and what may."""
+        preds = {x.atom.pred for c in self.program.constraints for x in c.body if not x.atom.comparison}
+        true, undefined = self._model(preds)
+        open_ = {p: true[p].union(undefined[p]) if p in undefined else true[p] for p in true}
+        out = []
+        for c in self.program.constraints:
+            sure = Rule(None, c.body)
+            marked = {**true, **{"not " + p: d for p, d in open_.items()}}
+            loose = {**open_, **{"not " + p: d for p, d in true.items()}}
+            renamed = Rule(None, tuple(Literal(Atom("not " + x.atom.pred, x.atom.args), True) if x.negated else x for x in sure.body))
+            named = [v for v in {v: None for x in c.positive for v in x.atom.variables} if not v.anonymous]
+            columns = [F.col(name(v)).alias(v.name) for v in named] or [F.lit(1).alias(UNIT)]
+            bad, may = (body(renamed, r, keep_all=True).select(*columns).distinct() for r in (marked, loose))
+            out.append((c, bad, may.join(bad, bad.columns, "left_anti")))
+        return out
+
+
 def run_program(spark: SparkSession, text: str, facts: Facts | None = None, engine: str = "seminaive") -> Engine:
     """Parse, check and prepare a program with facts from text, Python rows or DataFrames."""
     return ENGINES[engine](spark, text, facts)
 
 
-ENGINES: dict[str, type[Engine]] = {"seminaive": Engine, "naive": NaiveEngine, "magic": MagicEngine, "tabling": TabledEngine}
+ENGINES: dict[str, type] = {"seminaive": Engine, "naive": NaiveEngine, "magic": MagicEngine, "tabling": TabledEngine, "slg": SlgEngine}
