@@ -65,19 +65,19 @@ class Engine:
     naive = False
     goal_directed = False
 
-    def __init__(self, spark: SparkSession, text: str | list[Rule], facts: Facts | None = None, doubling: bool = True):
+    def __init__(self, spark: SparkSession, text: str | list[Rule], facts: Facts | None = None, doubling: bool = True, small_rows: int | None = None):
         self.spark = spark
         stated, self.external = split_facts(facts)
         self.clauses = list(dict.fromkeys([*(parse(text) if isinstance(text, str) else text), *stated]))
         self.program = analyse(self.clauses, {p: len(d.columns) for p, d in self.external.items()})
-        self.doubling = doubling
+        self.doubling, self.small_rows = doubling, small_rows
         self.log: list = []
         self._relations: Relations | None = None
 
     @property
     def relations(self) -> Relations:
         if self._relations is None:
-            run = Fixpoint(self.spark, self.program, self.external, self.naive, doubling=self.doubling)
+            run = Fixpoint(self.spark, self.program, self.external, self.naive, doubling=self.doubling, small_rows=self.small_rows)
             self._relations = run.run()
             self.log = run.log
         return self._relations
@@ -153,7 +153,7 @@ class MagicEngine(Engine):
         external = {("external#" + p if f"external#{p}" in {x.atom.pred for c in clauses for x in c.body} else p): d for p, d in self.external.items()}
         external |= {p: d for p, d in self.external.items() if p not in derived}
         program = analyse(clauses, {p: len(d.columns) for p, d in external.items()})
-        run = Fixpoint(self.spark, program, external, doubling=False)
+        run = Fixpoint(self.spark, program, external, doubling=False, small_rows=self.small_rows)
         found = run.run()
         self.log = run.log
         return found[pred]

@@ -11,12 +11,17 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.local import Model, TooLarge
 from ..plans.ast import Atom, Literal, Program, Rule, Var, aggregate_of
 from ..plans.compiler import Relations, columns_of, derive, facts_frame
 
 COMPACT = 6
+SMALL_ROWS = 20_000  # a recursive component that reads no more rows is evaluated in one place
+SMALL_DERIVED = 200_000  # ... unless it derives more than so many
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
@@ -61,11 +66,16 @@ class Fixpoint:
     """Evaluates a program's components over external relations.
 
     ``negated``: relations that ``not`` reads instead of the program's own (for alternating fixpoints).
+    ``small_rows``: a round of jobs costs more than a small fixpoint, so a recursive component whose
+    inputs are counted and found to have no more rows than this is evaluated in memory; it goes over to
+    the distributed loop if it derives more than ``SMALL_DERIVED`` rows.  0: always distributed.
     ``log``: a line for each component and round: (predicates, round, new rows).
     """
 
-    def __init__(self, spark: SparkSession, program: Program, external: Relations, naive: bool = False, negated: Relations | None = None, doubling: bool = True):
+    def __init__(self, spark: SparkSession, program: Program, external: Relations, naive: bool = False, negated: Relations | None = None, doubling: bool = True, small_rows: int | None = None):
         self.spark, self.program, self.naive, self.negated, self.doubling = spark, program, naive, negated, doubling
+        self.small_rows = (SMALL_ROWS if small_rows is None else small_rows) if not naive and not negated else 0
+        self.held: dict[str, list[tuple] | None] = {}  # rows of relations known to be small; None: not small
         self.relations: Relations = {}
         self.log: list[tuple[tuple[str, ...], int, int]] = []
         stated: dict[str, list[tuple]] = {}
@@ -77,6 +87,43 @@ class Fixpoint:
                 parts.append(external[pred].toDF(*columns_of(n)).distinct())
             if parts:
                 self.relations[pred] = parts[0] if len(parts) == 1 else union(parts).distinct()
+            if pred not in external and pred not in program.derived and n:
+                self.held[pred] = list(dict.fromkeys(stated.get(pred, ())))
+
+    def _small(self, pred: str) -> list[tuple] | None:
+        """The rows of a relation that has no more than ``small_rows``; they are counted as they come."""
+        if pred not in self.held:
+            rows = self.relations[pred].limit(self.small_rows + 1).collect() if self.program.arity[pred] else None
+            self.held[pred] = [tuple(r) for r in rows] if rows is not None and len(rows) <= self.small_rows else None
+        return self.held[pred]
+
+    def _in_memory(self, group: list[str], rules: list[Rule], recursive: bool) -> bool:
+        """Evaluate the component from small inputs; False if it is not small."""
+        reads = {x.atom.pred for r in rules for x in r.body if not x.atom.comparison} | {p for p in group if p in self.relations}
+        if not self.small_rows or any(not self.program.arity[p] for p in (*reads, *group)):
+            return False
+        if not recursive and any(p not in self.held for p in reads):
+            return False  # one plan does it
+        given, total = {}, 0
+        for p in sorted(reads - (set(group) - self.relations.keys())):
+            rows = self._small(p)
+            if rows is None or (total := total + len(rows)) > self.small_rows:
+                return False
+            given[p] = rows
+        try:
+            model = Model(rules, given, total + SMALL_DERIVED)
+        except TooLarge:
+            return False
+        for p in group:
+            found = list(model.stores[p].rows)
+            start = next((r for r in rules if r.head.pred == p and all(x.atom.pred in self.relations for x in r.body if not x.atom.comparison)), None)
+            schema = self._derive(start).schema if start else facts_frame(self.spark, found[:1], self.program.arity[p]).schema
+            columns = list(zip(*found, strict=True)) or [[] for _ in schema]
+            arrow = to_arrow_schema(schema)
+            self.relations[p] = self.spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)
+            self.held[p] = found if len(found) <= self.small_rows else None
+        self.log.append((tuple(group), 0, sum(len(model.stores[p].rows) for p in group)))
+        return True
 
     def _empty(self, pred: str, rules: list[Rule]) -> DataFrame:
         """An empty relation, its types taken from a rule where one can be planned, else strings."""
@@ -117,6 +164,8 @@ class Fixpoint:
         recursive = [r for r in rules if any(x.atom.pred in inside for x in r.positive)]
         stated = {p: self.relations[p] for p in group if p in self.relations}
         start = [r for r in rules if r not in recursive]
+        if self._in_memory(group, rules, bool(recursive)):
+            return
         if not recursive:
             for p in group:
                 parts = [self._derive(r) for r in start if r.head.pred == p] + ([stated[p]] if p in stated else [])
