@@ -41,65 +41,75 @@ SHARDS = "shard long, doc_ids array<long>, sizes binary, ids binary, terms binar
 _PLAIN = re.compile("[a-zà-öø-ÿœ]+")
 #: A stop or comma after anything but a Latin letter, a digit or white space: there a run of signs goes on.
 _SIGNS = re.compile(rb"[.,](?:(?<=[^A-Za-z0-9\s\x80-\xff][.,])|(?<=[\x80-\xff][.,])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf][.,]))")
+_END = b"\xff"  # in no UTF-8 text
 _CACHED = 1_000_000  # words whose ids a worker remembers
 
 
-class WordTokenizer:
+class WordTokenizer(dict):
     """Ids of texts under a tokenizer that drops white space, lower-cases and never joins words.
 
     White-space-separated words are tokenized alone and remembered, without a stop or comma at their
-    end where that is a token boundary.  New words of plain letters are encoded together: each of them
-    ends with an end-of-word id.
+    end where that is a token boundary.  A new word of plain letters is merged from its bytes and an
+    end mark by the rank of the merged token.  That is the tokenizer's own merging wherever every token
+    is what its own text is merged to, since inside a token the merges run as if it stood alone; the
+    tests check that of every token.  All other new words go through the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        super().__init__()
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        vocabulary = self.model.get_vocab(with_added_tokens=True)
-        self.size = max(vocabulary.values()) + 1
-        if self.size > 1 << 16:
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        if max(self.model.get_vocab(with_added_tokens=True).values()) >= 1 << 16:
             raise ValueError("ids are stored in 16 bits")
-        self.ends = np.zeros(self.size, bool)
-        for token, number in vocabulary.items():
-            self.ends[number] = token.endswith("</w>")
-        self.words: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u2") for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, new: set[bytes]) -> None:
-        plain, rest = [], []
-        for w in new:
-            (plain if w.isalpha() or _PLAIN.fullmatch(w.decode()) else rest).append(w)
-        if plain:
-            (ids,) = self._encode([b" ".join(plain).decode()])
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 2
-            if len(cuts) != len(plain):
-                raise ValueError("a word does not end with one end-of-word id")
-            raw, cuts = ids.tobytes(), cuts.tolist()
-            self.words.update(zip(plain, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
-        if rest:
-            self.words.update(zip(rest, [x.tobytes() for x in self._encode([w.decode() for w in rest])], strict=True))
+        unit = {c: bytes([b]) for b, c in _byte_letters().items()}
+        end = "</w>"
+        spelled = {t: b"".join(unit[c] for c in t.removesuffix(end)) + _END * t.endswith(end) for t in vocabulary if all(c in unit for c in t.removesuffix(end))}
+        # what closes a word comes before any merge, and then tokens by their number, as they were made
+        order = sorted(spelled, key=lambda t: (len(t.removesuffix(end)) > 1, vocabulary[t]))
+        ranks: dict[bytes, int] = {}
+        self.pieces: list[bytes] = []
+        for t in order:
+            ranks[spelled[t]] = len(ranks)
+            self.pieces.append(np.array([vocabulary[t]], "<u2").tobytes())
+        for b in range(256):  # the rest of the bytes must have ranks, though no plain word has them
+            if bytes([b]) not in ranks:
+                ranks[bytes([b])] = len(ranks)
+                self.pieces.append(b"")
+        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha() or _PLAIN.fullmatch(word.decode()):
+            pieces = self.pieces
+            out = b"".join([pieces[r] for r in self.merge(word + _END)])
+        else:
+            out = self._encode(word.decode())
+        self[word] = out
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each UTF-8 text."""
-        split = []
+        if len(self) > _CACHED:
+            self.clear()
+        get, out = self.__getitem__, []
         for t in texts:
             if not _SIGNS.search(t):
                 t = t.replace(b".", b" .").replace(b",", b" ,")
             # lowering A-Z first keeps the cache small, but must not spell a special token
-            split.append((t if b"<|" in t else t.lower()).split())
-        if len(self.words) > _CACHED:
-            self.words = {}
-        get = self.words.get
-        found = [list(map(get, w)) for w in split]
-        late = [k for k, x in enumerate(found) if None in x]
-        if late:
-            self._learn(set().union(*(split[k] for k in late)) - self.words.keys())
-            for k in late:
-                found[k] = map(get, split[k])
-        return [b"".join(x) for x in found]
+            out.append(b"".join(map(get, (t if b"<|" in t else t.lower()).split())))
+        return out
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte: itself where it is one, else those after U+00FF in order."""
+    own = [b for b in range(256) if chr(b).isprintable() and b not in (32, 160, 173)]
+    rest = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 @lru_cache(maxsize=2)

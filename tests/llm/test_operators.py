@@ -268,6 +268,31 @@ def test_word_tokenizer_is_exact():
     assert [np.frombuffer(x, "<u2").tolist() for x in got] == [e.ids for e in expected]
 
 
+def test_every_token_is_what_its_text_merges_to():
+    import json
+
+    with open(tokenizer_file(), encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    rank = {tuple(m.split(" ") if isinstance(m, str) else m): k for k, m in enumerate(model["merges"])}
+    for a, b in rank:
+        token = a + b
+        parts = list(token.removesuffix("</w>"))
+        parts[-1] += "</w>" * token.endswith("</w>")
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda i: (rank.get((parts[i], parts[i + 1]), 1 << 30), i))
+            assert (parts[k], parts[k + 1]) in rank
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        assert parts == [token]
+
+
+def test_plain_words_are_exact():
+    r = random.Random(6)
+    tokenizer = packing.WordTokenizer(tokenizer_file())
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyzàéèüößñçœ") for _ in range(r.randint(1, 14))) for _ in range(30_000)]
+    expected = tokenizer.model.encode_batch_fast(words, add_special_tokens=False)
+    assert all(np.frombuffer(tokenizer[w.encode()], "<u2").tolist() == e.ids for w, e in zip(words, expected, strict=True))
+
+
 def test_neighbours_share_words():
     ids = np.array([5, 6, 7, 1, 8, 9, 1, 5, 6, 7, 9, 1, 2, 3, 1], "<u2")
     sizes = np.array([4, 3, 5, 3])
