@@ -149,11 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     common = (F.col("p") >= max(3, n_p // 100)) & (z > 4)
     best = counts.where(common).orderBy(z.desc(), "feature").limit(MAX_FEATURES).collect()
     model = Model({bytes(r.feature): k for k, r in enumerate(best)}, np.zeros(len(best)), 0.0)
-    found = sample.mapInArrow(_sample_counts(model), "toxic boolean, k array<int>, n array<double>").orderBy("toxic", "k", "n").toArrow()
-    sizes = np.array([len(x) for x in found["k"].to_pylist()])
-    flat = [np.concatenate([np.asarray(x, t) for x in found[c].to_pylist()]) for c, t in (("k", np.int64), ("n", float))]
-    positive = found["toxic"].to_numpy(zero_copy_only=False).astype(bool)
-    model.weights, model.bias = nonnegative_pu(np.repeat(np.arange(len(sizes)), sizes), flat[0], flat[1], positive, len(best), prior)
+    found = sample.mapInArrow(_sample_counts(model), "toxic boolean, k array<int>, n array<double>").toArrow()
+    rows = sorted(zip(*(found[c].to_pylist() for c in ("toxic", "k", "n")), strict=True))  # in one order, whatever came first
+    sizes = np.array([len(k) for _, k, _ in rows])
+    columns, values = (np.array([v for r in rows for v in r[c]], t) for c, t in ((1, np.int64), (2, float)))
+    positive = np.array([toxic for toxic, _, _ in rows], bool)
+    model.weights, model.bias = nonnegative_pu(np.repeat(np.arange(len(sizes)), sizes), columns, values, positive, len(best), prior)
     return model
 
 
