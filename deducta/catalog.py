@@ -6,18 +6,29 @@ query needs; answers are renamed to lower case.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import ENGINES, Engine, TabledEngine
+from .api import ENGINES, Engine, SlgEngine, TabledEngine
+from .functions.chase import Chase, Null
+from .functions.containment import minimise
+from .functions.defeasible import Theory, tags
+from .functions.explain import mutation_score, read_expectations, why
+from .functions.learn import candidates, foil, read_examples, synthesise
+from .functions.local import Model
+from .functions.ontology import Ontology
+from .functions.prolog import Prolog, number
+from .functions.stable import stable_models
 from .operators.incremental import Materialized
 from .operators.lattice import best
 from .operators.semiring import SemiringEngine
 from .operators.wellfounded import well_founded
+from .plans.ast import format_fact
 from .plans.parser import parse
-from .sources.facts import relation
+from .sources.facts import chain, relation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -257,6 +268,139 @@ def _overlap(spark: SparkSession, d: str) -> DataFrame:
     return _lower(e.query("q(X, Y)"))
 
 
+# ---------------------------------------------------------------- tools on programs
+
+
+def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _small_facts(df: DataFrame, pred: str, most: int = 50_000) -> str:
+    """A small relation as program text; it fails on a larger one."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{pred} has more than {most} rows; use a DataFrame engine")
+    return "\n".join(format_fact(pred, tuple(r)) for r in rows)
+
+
+def _chase(spark: SparkSession, d: str) -> DataFrame:
+    """CHS-1: every nation has a port, known or not; ports of regions without a stated one are nulls."""
+    nations = _small_facts(_table(spark, d, "nation", "concat('n', n_nationkey) AS n", "concat('r', n_regionkey) AS r"), "nation")
+    done = Chase(parse(nations + " port(N, p) :- nation(N, r1). port(N, P) :- nation(N, R). served(N) :- port(N, P).")).run()
+    rows = [(r[0], "?" if isinstance(r[1], Null) else r[1]) for r in done.rows("port")]
+    return _frame(spark, rows, "n string, p string")
+
+
+def _ontology(spark: SparkSession, d: str) -> DataFrame:
+    """ONT-2, ONT-4: nations below regions below the world, by the compiled completion rules on DataFrames."""
+    axioms = "\n".join(f"isa({a}, {b})." for a, b in contains(spark, d).where("x LIKE 'r%'").select("y", "x").collect())
+    o = Ontology(axioms + "\n" + "\n".join(f"isa(r{k}, world)." for k in range(5)))
+    return o.classify_frame(spark).where("c0 != c1 AND c1 != 'nothing'").toDF("x", "y")
+
+
+def _defeasible(spark: SparkSession, d: str) -> DataFrame:
+    """DEF-2: suppliers pay by default, not with debts, but in nation 7 whatever they owe."""
+    rows = _table(spark, d, "supplier", "concat('s', s_suppkey) AS s", "s_acctbal < 0 AS debt", "s_nationkey = 7 AS seven").limit(10_001).collect()
+    text = " ".join(f"supplier({r.s})." + f" debt({r.s})." * r.debt + f" seven({r.s})." * r.seven for r in rows[:10_000])
+    rules_ = "r1: supplier(X) => pays(X). r2: debt(X) => ~pays(X). r3: seven(X) => pays(X). r2 > r1. r3 > r2."
+    found = tags(Theory.parse(text + rules_)).provable
+    return _frame(spark, [row for p, row in found if p == "pays"], "s string")
+
+
+def _stable(spark: SparkSession, d: str) -> DataFrame:
+    """STB-1: free choices of regions; how many models choose so many."""
+    text = _small_facts(_table(spark, d, "region", "concat('r', r_regionkey) AS r"), "region")
+    models = stable_models(parse(text + " on(R) :- region(R), not off(R). off(R) :- region(R), not on(R)."))
+    sizes = Counter(sum(p == "on" for p, _ in m) for m in models)
+    return _frame(spark, [(k, n) for k, n in sizes.items()], "chosen long, models long")
+
+
+def _slg(spark: SparkSession, d: str) -> DataFrame:
+    return _lower(SlgEngine(spark, "win(X) :- sup(X, Y), not win(Y). other(X) :- sup(_, X).", {"sup": sup(spark, d)}).query("win(X)")[0])
+
+
+def _why_sets(spark: SparkSession, d: str) -> DataFrame:
+    """SEM-5: the facts behind every containment."""
+    edges = contains(spark, d)
+    values = SemiringEngine(spark, parse("p(X, Y) :- c(X, Y). p(X, Z) :- c(X, Y), p(Y, Z)."), "why", {"c": edges}).run()["p"]
+    return values.selectExpr("c0 AS x", "c1 AS y", "array_join(flatten(_k), ' ') AS w")
+
+
+def _incremental_tables(spark: SparkSession, d: str) -> DataFrame:
+    """TAB-3: a table answered, then dropped by an update, then answered anew."""
+    e = TabledEngine(spark, LINEAR.replace("sup", "edge") + " edge(S, D) :- sup(S, D). edge(S, D) :- more(S, D). more(0, 1).", {"sup": sup(spark, d)})
+    e.query("p(0, D)")
+    e.apply("more(0, 7). more(0, 1)~.")
+    return _lower(e.query("p(0, D)"))
+
+
+def _mixed_script(spark: SparkSession, d: str) -> DataFrame:
+    """INC-4: deletions first, then insertions, from one script."""
+    m = Materialized(spark, LEFT + " sup(9000, 9001).", {"sup": sup(spark, d).where("s < 40")})
+    m.apply("sup(9000, 9001)~. sup(9001, 1). sup(9002, 9001).")
+    return m.relations["p"].toDF("s", "d")
+
+
+def _resolution(spark: SparkSession, d: str) -> DataFrame:
+    found, _ = Prolog("add(0, N, N). add(s(M), N, s(R)) :- add(M, N, R).").query("add(X, Y, s(s(s(s(s(0))))))")
+    return _frame(spark, [(number(x["X"]), number(x["Y"])) for x in found], "x long, y long")
+
+
+def _learned(how: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        """ILP: learn reachability from a few edges, then apply the rules to the suppliers' graph."""
+        model = Model("sup(1, 2). sup(2, 3). sup(3, 4). sup(1, 5). sup(5, 6).")
+        target, good, bad = read_examples("p(1, 2). p(2, 3). p(1, 3). p(1, 4). p(2, 4). p(3, 4). p(1, 5). p(1, 6). p(5, 6).", model)
+        found = foil(model, target, good, bad) if how == "foil" else synthesise(model, candidates({"sup": 2, "p": 2}, "p", 2), target, good, bad)
+        return Engine(spark, found, {"sup": sup(spark, d)}).relation("p").toDF("s", "d")
+
+    return run
+
+
+def _core(spark: SparkSession, d: str) -> DataFrame:
+    """CON-3: a redundant query and its core give the same answers."""
+    rule = minimise(parse("q(A, B) :- sup(A, B), sup(A, C), sup(D, B), sup(A, B).")[0])
+    return _lower(Engine(spark, [rule], {"sup": sup(spark, d)}).query("q(A, B)"))
+
+
+def _explained(spark: SparkSession, d: str) -> DataFrame:
+    """XPL-1: why the smallest supplier that 7 reaches last is reached, a line a row."""
+    model = Model(_small_facts(sup(spark, d), "sup") + "\n" + LINEAR)
+    rows = [r for r in model.rows("p") if r[0] == 7] or model.rows("p")
+    return _frame(spark, list(enumerate(why(model, "p", rows[-1]).lines())), "line long, text string")
+
+
+def _mutated(spark: SparkSession, d: str) -> DataFrame:
+    """MUT-2 and DIA-1: which changes of the closure's rules two expectations notice."""
+    clauses = parse("sup(1, 2). sup(2, 3). sup(3, 4). " + LINEAR)
+    caught, alive = mutation_score(clauses, *read_expectations("p(1, 4). p(1, 2). :- p(2, 1). :- p(4, _)."))
+    return _frame(spark, [(x, True) for x in caught] + [(x, False) for x in alive], "mutant string, caught boolean")
+
+
+_CHAIN_SQL = "WITH n AS (SELECT unnest(range(1, 61)) AS k) SELECT 'n' || a.k AS x, 'n' || b.k AS y FROM n a JOIN n b ON a.k < b.k"
+
+ENTRIES |= {
+    "SRC_1_program_text": (lambda spark, d: _lower(Engine(spark, "p(1, a). p(2, 'B b'). q(X, Y) :- p(X, Y), X > 1.").query("q(X, Y)")), "SELECT 2 AS x, 'B b' AS y"),
+    "SRC_3_python_rows": (lambda spark, d: _lower(Engine(spark, "q(X) :- p(X), not r(X).", {"p": [1, 2, 2, 3], "r": [(3,)]}).query("q(X)")), "SELECT unnest([1, 2]) AS x"),
+    "SRC_11_chain_closure": (lambda spark, d: _lower(Engine(spark, "p(X, Y) :- e(X, Y). p(X, Z) :- e(X, Y), p(Y, Z).", {"e": chain(spark, 60)}).query("p(X, Y)")), _CHAIN_SQL),
+    "REC_1_distributed_loop": (rules(LINEAR, "p(S, D)", "sup", small_rows=0), _PATHS_SQL),
+    "TAB_3_updated_tables": (_incremental_tables, f"WITH RECURSIVE {SUP}, e AS (SELECT s, d FROM sup UNION SELECT 0, 7), r AS (SELECT d FROM e WHERE s = 0 UNION SELECT e.d FROM e JOIN r ON e.s = r.d) SELECT d FROM r"),
+    "INC_4_mixed_script": (_mixed_script, f"WITH RECURSIVE {SUP}, e AS (SELECT * FROM sup WHERE s < 40 UNION SELECT 9001, 1 UNION SELECT 9002, 9001), p AS (SELECT s, d FROM e UNION SELECT e.s, p.d FROM e JOIN p ON e.d = p.s) SELECT s, d FROM p"),
+    "SLG_1_win": (_slg, ENTRIES["WFS_3_win_true"][1]),
+    "SEM_5_why": (_why_sets, f"WITH RECURSIVE {CONTAINS} SELECT x, y, 'c(' || x || ', ' || y || ')' AS w FROM contains UNION ALL SELECT a.x, b.y, 'c(' || b.x || ', ' || b.y || ') c(' || a.x || ', ' || a.y || ')' FROM contains a JOIN contains b ON a.y = b.x"),
+    "CHS_1_chase": (_chase, "SELECT 'n' || n_nationkey AS n, CASE WHEN n_regionkey = 1 THEN 'p' ELSE '?' END AS p FROM nation"),
+    "ONT_4_classify": (_ontology, "SELECT 'n' || n_nationkey AS x, 'r' || n_regionkey AS y FROM nation UNION ALL SELECT 'n' || n_nationkey, 'world' FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region"),
+    "DEF_2_defeasible": (_defeasible, "SELECT 's' || s_suppkey AS s FROM supplier WHERE s_acctbal >= 0 OR s_nationkey = 7"),
+    "STB_1_stable_models": (_stable, "SELECT CAST(bit_count(m) AS BIGINT) AS chosen, count(*) AS models FROM (SELECT unnest(range(0, 32)) AS m) GROUP BY 1"),
+    "PRO_2_resolution": (_resolution, "SELECT unnest(range(0, 6)) AS x, 5 - unnest(range(0, 6)) AS y"),
+    "ILP_1_foil": (_learned("foil"), _PATHS_SQL),
+    "ILP_2_synthesis": (_learned("synthesis"), _PATHS_SQL),
+    "CON_3_core": (_core, f"WITH {SUP} SELECT s AS a, d AS b FROM sup"),
+    "XPL_1_why": (_explained, None),
+    "MUT_2_mutants": (_mutated, None),
+}
+
+
 def queries() -> dict[str, Query]:
     return {name: q for name, (q, _) in ENTRIES.items()}
 

@@ -169,7 +169,8 @@ class Fixpoint:
         if not recursive:
             for p in group:
                 parts = [self._derive(r) for r in start if r.head.pred == p] + ([stated[p]] if p in stated else [])
-                self.relations[p] = cut(parts[0] if len(parts) == 1 else union(parts).distinct())
+                rows = parts[0] if len(parts) == 1 else union(parts).distinct()
+                self.relations[p] = cut(rows) if self._read_again(p) else rows
             return
         if self.doubling and not self.naive and not stated and len(group) == 1:
             rules = closure_doubled(rules)
@@ -177,6 +178,13 @@ class Fixpoint:
         self._seed(group, start, stated, recursive)
         (self._naive if self.naive else self._delta)(group, start, recursive)
 
+    def _read_again(self, pred: str) -> bool:
+        """Whether rules read the predicate several times, or in a loop; if not, it stays a plan that Catalyst
+        can prune and push filters into."""
+        home = {p: k for k, g in enumerate(self.program.components) for p in g}
+        readers = [r for r in self.program.rules for x in r.body if not x.atom.comparison and x.atom.pred == pred]
+        return len(readers) > 1 or any(home.get(x.atom.pred) == home[r.head.pred] for r in readers for x in r.body)
+
     def _seed(self, group: list[str], start: list[Rule], stated: Relations, recursive: list[Rule]) -> None:
         for p in group:
             parts = [self._derive(r) for r in start if r.head.pred == p] + ([stated[p]] if p in stated else [])

@@ -32,7 +32,7 @@ def sql():
     return con
 
 
-FAST = [n for n in catalog.ENTRIES if n.split("_")[0] in ("FIL", "PRJ", "QRY", "JOIN", "SET", "AGG", "NEG", "ICN")] + ["REC_1_reach_linear", "REC_4_reach_nonlinear", "REC_5_odd_even", "REC_8_for_all", "WFS_3_win_true", "SEM_2_cheapest", "INC_2_delete_dred"]
+FAST = [n for n in catalog.ENTRIES if n.split("_")[0] in ("FIL", "PRJ", "QRY", "JOIN", "SET", "AGG", "NEG", "ICN", "SRC", "CHS", "ONT", "DEF", "STB", "PRO", "ILP", "CON", "SLG") and catalog.ENTRIES[n][1]] + ["REC_1_reach_linear", "REC_4_reach_nonlinear", "REC_5_odd_even", "REC_8_for_all", "WFS_3_win_true", "SEM_2_cheapest", "INC_2_delete_dred"]
 
 
 @pytest.mark.parametrize("name", FAST)
