@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.fixpoint import Fixpoint, cut
-from .plans.analysis import analyse
-from .plans.ast import Atom, DatalogError, Literal, Rule, Var
-from .plans.compiler import UNIT, Relations, body, columns_of, name, scan
+from .operators.wellfounded import well_founded
+from .plans.analysis import analyse, dependencies
+from .plans.ast import Atom, Const, DatalogError, Literal, Rule, Var
+from .plans.compiler import UNIT, Relations, body, name, scan
 from .plans.magic import demand
 from .plans.parser import parse, parse_goal
 from .sources.facts import python_facts, relation
@@ -99,13 +101,7 @@ class Engine:
         """Whole rows of the goal's relation that match it."""
         atom = check_query(parse_goal(goal) if isinstance(goal, str) else goal, self.program.arity)
         rows = self._rows(atom)
-        free = Atom(atom.pred, tuple(Var(f"A{k}") for k in range(len(atom.args))))
-        if not atom.args:
-            return rows
-        shared = [v for v in atom.variables]
-        if not shared:
-            return rows.where(_same(rows, atom))
-        return rows.where(_same(rows, atom)).select(*columns_of(len(free.args)))
+        return rows.where(_same(rows, atom)) if atom.args else rows
 
     def violations(self) -> list[tuple[Rule, DataFrame]]:
         """For each constraint, the distinct bindings of its named variables that break it."""
@@ -118,13 +114,8 @@ class Engine:
         return out
 
 
-def _same(rows: DataFrame, atom: Atom):
-    from functools import reduce
-
-    from pyspark.sql import Column
-
-    from .plans.ast import Const
-
+def _same(rows: DataFrame, atom: Atom) -> Column:
+    """Whether a row matches the atom."""
     tests, first = [F.lit(True)], {}
     for c, a in zip(rows.columns, atom.args, strict=True):
         if isinstance(a, Const):
@@ -149,9 +140,8 @@ class MagicEngine(Engine):
 
     def _rows(self, atom: Atom) -> DataFrame:
         clauses, pred = demand([c for c in self.clauses if c.head], atom, set(self.external))
-        derived = {c.head.pred for c in clauses if c.body}
-        external = {("external#" + p if f"external#{p}" in {x.atom.pred for c in clauses for x in c.body} else p): d for p, d in self.external.items()}
-        external |= {p: d for p, d in self.external.items() if p not in derived}
+        read = {x.atom.pred for c in clauses for x in c.body} | {pred}
+        external = {name_: d for p, d in self.external.items() for name_ in (p, "external#" + p) if name_ in read}
         program = analyse(clauses, {p: len(d.columns) for p, d in external.items()})
         run = Fixpoint(self.spark, program, external, doubling=False, small_rows=self.small_rows)
         found = run.run()
@@ -182,8 +172,6 @@ class TabledEngine(MagicEngine):
 
     def apply(self, script: str) -> int:
         """Update the stated facts; tables that depend on a changed predicate are dropped.  Returns how many."""
-        from .plans.analysis import dependencies
-
         changed = {c.head.pred for c in parse(script)}
         self.clauses = assume(self.clauses, script)
         self.program = analyse(self.clauses, {p: len(d.columns) for p, d in self.external.items()})
@@ -215,8 +203,6 @@ class SlgEngine:
         self.program = analyse(self.clauses, {p: len(d.columns) for p, d in self.external.items()}, stratified=False)
 
     def _model(self, preds: set[str]) -> tuple[Relations, Relations]:
-        from .operators.wellfounded import well_founded
-
         reads = {p: {x.atom.pred for r in self.program.rules if r.head.pred == p for x in r.body if not x.atom.comparison} for p in self.program.arity}
         todo, reach = list(preds), set()
         while todo:

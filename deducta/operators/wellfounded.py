@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from ..plans.analysis import analyse
+from ..plans.analysis import analyse, components, dependencies
 from ..plans.ast import DatalogError, Rule, aggregate_of
 from ..plans.compiler import Relations
 from .fixpoint import Fixpoint
@@ -20,9 +20,7 @@ def well_founded(spark: SparkSession, clauses: list[Rule], external: Relations |
     if any(c.head and aggregate_of(c.head) for c in clauses if c.body):
         raise DatalogError("aggregates have no well-founded meaning here")
     program = analyse([c for c in clauses if c.head], {p: len(d.columns) for p, d in external.items()}, stratified=False)
-    # components must not cut through negation: what is negated is fixed, so positive ones suffice
-    from ..plans.analysis import components, dependencies
-
+    # what is negated is fixed, so the components of the positive part are enough
     reads = {h: {(p, how) for p, how in e if how != "not"} for h, e in dependencies(program.rules).items()}
     program.components = components(reads)
 

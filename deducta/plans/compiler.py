@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ast import Atom, Const, DatalogError, Literal, Rule, Struct, Var, aggregate_of
+from .ast import Atom, Const, DatalogError, Rule, Struct, Var, aggregate_of
 
 UNIT = "_unit"
 Relations = dict[str, DataFrame]
@@ -161,6 +161,3 @@ def facts_frame(spark, rows: list[tuple], arity: int) -> DataFrame:
     rows = [tuple(float(v) if isinstance(f.dataType, T.DoubleType) else v for v, f in zip(r, fields, strict=True)) for r in dict.fromkeys(rows)]
     return spark.createDataFrame(rows, T.StructType(fields))
 
-
-def literal_of(atom: Atom) -> Literal:
-    return Literal(atom)
