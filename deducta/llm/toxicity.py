@@ -60,7 +60,7 @@ class Model:
     _seen: dict[bytes, tuple[int, ...]] = field(default_factory=dict, repr=False)
 
     def values(self, text: bytes) -> dict[int, float]:
-        """Logarithm of 1 plus how often each feature occurs in ``PER`` words."""
+        """Squared logarithm of 1 plus how often each feature occurs in ``PER`` words: one occurrence weighs little."""
         out: dict[int, float] = {}
         seen, numbers = self._seen, self.numbers
         if len(seen) > _REMEMBERED:
@@ -73,7 +73,7 @@ class Model:
             for k in at:
                 out[k] = out.get(k, 0) + n
         scale = PER / (len(words) + SHORT)
-        return {k: math.log1p(n * scale) for k, n in out.items()}
+        return {k: math.log1p(n * scale) ** 2 for k, n in out.items()}
 
     def score(self, text: bytes) -> float:
         z = self.bias + sum(self.weights[k] * x for k, x in self.values(text).items())
