@@ -46,6 +46,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The checkpointed rows, to be broadcast if they are no more than ``most``, and how many they are.
+
+    Beyond that, joins with them shuffle both sides.
+    """
+    rows = checkpoint(df)
+    n = rows.count()
+    return (F.broadcast(rows) if n <= most else rows), n
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

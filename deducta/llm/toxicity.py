@@ -38,6 +38,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 PER, SHORT = 200, 20  # occurrences are counted by so many words; short texts count as longer by so many
 THRESHOLD = 0.3
 _REMEMBERED = 200_000
+_UNLABELLED, _TOXIC, _CLEAN = 0, 1, 2
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -106,12 +107,25 @@ def nonnegative_pu(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, po
     return w, b
 
 
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope (over zero) and intercept of the logistic fit of y on z, a little damped (Platt scaling)."""
+    a, b = 1.0, 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
+        g = np.array([(weight * (p - y) * z).sum() + 0.01 * (a - 1), (weight * (p - y)).sum()])
+        h = weight * p * (1 - p)
+        hessian = np.array([[(h * z * z).sum() + 0.01, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-6]])
+        step = np.clip(np.linalg.solve(hessian, g), -1, 1)
+        a, b = max(a - step[0], 0.05), b - step[1]
+    return float(a), float(b)
+
+
 def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, in toxic documents, in unlabelled documents), for each batch."""
     for batch in batches:
         both = (Counter(), Counter())
-        for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            both[not toxic].update({f for w in set(words_of(text.as_py())) for f in features_of(w)})
+        for text, kind in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            both[kind == _UNLABELLED].update({f for w in set(words_of(text.as_py())) for f in features_of(w)})
         names = list(both[0] | both[1])
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array([c[x] for x in names], pa.int64()) for c in both)], ["feature", "p", "u"])
 
@@ -121,40 +135,62 @@ def _sample_counts(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         for batch in batches:
             found = [model.values(t.as_py()) for t in batch.column(0)]
             columns = [pa.array([list(x) for x in found], pa.list_(pa.int32())), pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["toxic", "k", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *columns], ["kind", "k", "n"])
 
     return run
 
 
 def _chosen(ids: DataFrame, most: int) -> DataFrame:
-    """At most so many ids, by a hash; few enough to be broadcast."""
-    return ids.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """At most so many ids, by a hash; few enough to be broadcast.
+
+    A share of the hashes that holds about one and a half times as many is cut out before the ids are
+    ordered, so that what reaches the driver does not grow with the tasks.
+    """
+    rank = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    cut = (1 << 30) * 3 * most // (2 * max(ids.count(), 1)) + 1
+    return ids.where(rank < cut).select("doc_id").distinct().orderBy(rank, "doc_id").limit(most)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model, from bounded samples of confirmed toxic and of unlabelled documents."""
+    """The model, from bounded samples of confirmed toxic and of unlabelled documents.
+
+    Documents labelled clean (as many at most as toxic ones) only set the scale of the probabilities.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     prior = min(max(n_toxic / n if n else 0.0, 0.001), 0.5)
-    toxic = _chosen(known.where("toxic = 1"), MAX_POSITIVE).withColumn("toxic", F.lit(True))
-    other = _chosen(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")), MAX_UNLABELLED).withColumn("toxic", F.lit(False))
-    rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(toxic.unionByName(other)), "doc_id")
-    sample = staged(rows.select("text", "toxic"), "toxicity")
-    n_p, n_u = (sample.where("toxic").count(), sample.where("NOT toxic").count())
+    toxic = _chosen(known.where("toxic = 1"), MAX_POSITIVE).withColumn("kind", F.lit(_TOXIC))
+    clean = _chosen(known.where("toxic = 0"), MAX_POSITIVE).withColumn("kind", F.lit(_CLEAN))
+    other = _chosen(docs.where(F.col("doc_id").isNotNull() & ~held_out("doc_id")), MAX_UNLABELLED).withColumn("kind", F.lit(_UNLABELLED))
+    rows = docs.select("doc_id", utf8("text").alias("text")).join(F.broadcast(toxic.unionByName(other).unionByName(clean)), "doc_id")
+    sample = staged(rows.select("text", "kind"), "toxicity")
+    kinds = {r.kind: r.n for r in sample.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u, n_c = (kinds.get(k, 0) for k in (_TOXIC, _UNLABELLED, _CLEAN))
     if not n_p or not n_u:
         return Model({}, np.zeros(0), float(np.log(prior / (1 - prior))))
-    counts = sample.mapInArrow(_feature_counts, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    learned = sample.where(F.col("kind") != _CLEAN)
+    counts = learned.mapInArrow(_feature_counts, "feature binary, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
     p, u = F.col("p") / n_p, F.col("u") / n_u
     z = (p - u) / F.sqrt((F.col("p") + F.col("u") + 1) / (n_p + n_u) * (1.0 / n_p + 1.0 / n_u))
     common = (F.col("p") >= max(3, n_p // 100)) & (z > 4)
     best = counts.where(common).orderBy(z.desc(), "feature").limit(MAX_FEATURES).collect()
     model = Model({bytes(r.feature): k for k, r in enumerate(best)}, np.zeros(len(best)), 0.0)
-    found = sample.mapInArrow(_sample_counts(model), "toxic boolean, k array<int>, n array<double>").toArrow()
-    rows = sorted(zip(*(found[c].to_pylist() for c in ("toxic", "k", "n")), strict=True))  # in one order, whatever came first
-    sizes = np.array([len(k) for _, k, _ in rows])
+    found = sample.mapInArrow(_sample_counts(model), "kind int, k array<int>, n array<double>").toArrow()
+    rows = sorted(zip(*(found[c].to_pylist() for c in ("kind", "k", "n")), strict=True))  # in one order, whatever came first
+    kind = np.array([r[0] for r in rows])
+    sizes = np.array([len(r[1]) for r in rows])
     columns, values = (np.array([v for r in rows for v in r[c]], t) for c, t in ((1, np.int64), (2, float)))
-    positive = np.array([toxic for toxic, _, _ in rows], bool)
-    model.weights, model.bias = nonnegative_pu(np.repeat(np.arange(len(sizes)), sizes), columns, values, positive, len(best), prior)
+    place = np.repeat(np.arange(len(sizes)), sizes)
+    used = kind != _CLEAN
+    at, kept = np.cumsum(used) - 1, used[place]
+    weights, bias = nonnegative_pu(at[place[kept]], columns[kept], values[kept], kind[used] == _TOXIC, len(best), prior)
+    if n_c:  # probabilities: the labelled rows, each class weighed as among all labels
+        logit = np.bincount(place, weights[columns] * values, minlength=len(kind)) + bias
+        judged = kind != _UNLABELLED
+        share = np.where(kind == _TOXIC, n_toxic / n_p, (n - n_toxic) / n_c)
+        a, b = calibrate(logit[judged], (kind == _TOXIC)[judged].astype(float), share[judged])
+        weights, bias = a * weights, a * bias + b
+    model.weights, model.bias = weights, bias
     return model
 
 

@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shared_dir, staged
+from .common import bounded, shared_dir, staged
 
 LEAST = 1000
 CHUNK = 1 << 18
@@ -58,9 +58,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
         F.octet_length(payload).cast("long").alias("size"),
     )
     keys = rows.where(F.col("size") >= LEAST).groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    groups = checkpoint(keys.where("n > 1").select("sha1", "size", "first"))
-    if groups.count() <= BROADCAST:
-        groups = F.broadcast(groups)
+    groups, _ = bounded(keys.where("n > 1").select("sha1", "size", "first"), BROADCAST)
     again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return rows.join(groups, ["sha1", "size"], "left").select(
         "page_id",
