@@ -8,7 +8,6 @@ those pieces, compacted every ``COMPACT`` rounds.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.local import Model, TooLarge
-from ..plans.ast import Atom, Literal, Program, Rule, Var, aggregate_of
+from ..plans.ast import Atom, Literal, Program, Rule, Var
 from ..plans.compiler import Relations, columns_of, derive, facts_frame
 
 COMPACT = 6
@@ -69,7 +68,8 @@ class Fixpoint:
     ``small_rows``: a round of jobs costs more than a small fixpoint, so a recursive component whose
     inputs are counted and found to have no more rows than this is evaluated in memory; it goes over to
     the distributed loop if it derives more than ``SMALL_DERIVED`` rows.  0: always distributed.
-    ``log``: a line for each component and round: (predicates, round, new rows).
+    ``log``: for each component and round: (predicates, round, predicates that grew); for one that was
+    evaluated in memory: (predicates, 0, rows).
     """
 
     def __init__(self, spark: SparkSession, program: Program, external: Relations, naive: bool = False, negated: Relations | None = None, doubling: bool = True, small_rows: int | None = None):
@@ -216,11 +216,9 @@ class Fixpoint:
             for p, rows in new.items():
                 known = self.relations[p].union(rows)
                 self.relations[p] = cut(known.coalesce(max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))))) if turn % COMPACT == 0 else known
-            self.log.append((tuple(group), turn, sum(d.count() for d in new.values()) if self._observed else len(new)))
+            self.log.append((tuple(group), turn, len(new)))
             delta = new
 
-    _observed = False
-
     def _naive(self, group: list[str], start: list[Rule], recursive: list[Rule]) -> None:
         """All rules on all rows until nothing changes: the definition, for comparison."""
         turn = 0
@@ -238,14 +236,3 @@ class Fixpoint:
             if not grown:
                 return
 
-
-def is_recursive(program: Program) -> bool:
-    home = {p: k for k, g in enumerate(program.components) for p in g}
-    return any(home.get(x.atom.pred) == home[r.head.pred] for r in program.rules for x in r.body)
-
-
-def has_aggregates(program: Program) -> bool:
-    return any(aggregate_of(r.head) for r in program.rules)
-
-
-Evaluator = Callable[[SparkSession, Program, Relations], Relations]
