@@ -2,7 +2,7 @@
 
 ``fingerprints`` makes 64-bit SimHashes of word shingles; ``links`` finds every pair of
 distinct fingerprints within the radius; ``components`` names each connected group by its
-smallest document.
+smallest document.  ``near_copies`` groups documents by exact resemblance of wider shingles instead.
 
 * Null and empty texts have no words: fingerprint zero, linked like any other.
 * Texts of fewer than three words hash their whole word sequence.
@@ -19,16 +19,16 @@ spanning forest of its links leaves the task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions, utf8
+from .common import bounded, checkpoint, partitions, staged, utf8
 
 RADIUS = 3
 BUCKET = 2048
@@ -276,3 +276,212 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(of, "fp", "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+# ---------------------------------------------------------------- near copies by exact resemblance
+
+COPY_WORDS = 5
+LEAST_BITS = 512
+PARTS = 8
+SPREAD = 16  # one text in so many is looked at for common shingles
+COMMON = 4  # as often among those: common
+MOST_COMMON = 100_000
+NODES = 1_000_000  # text hashes that are sent to every executor, or remembered by a task, at most
+_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_BACK = np.array([pow(int(x), -1, 1 << 64) for x in _TURNS], np.uint64)
+
+
+def shingle_set(text: bytes, size: int = COPY_WORDS) -> np.ndarray:
+    """The distinct shingle hashes in order; texts without words share one element."""
+    found = np.unique(shingle_hashes(text, size))
+    return found if len(found) else np.zeros(1, np.uint64)
+
+
+def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
+    """(node, text) once a node and task, as far as nodes are remembered."""
+    seen: set[int] = set()
+    for batch in batches:
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if node not in seen:
+                if len(seen) >= NODES:
+                    seen.clear()
+                seen.add(node)
+                yield node, text.as_buffer().to_pybytes()
+
+
+def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[np.ndarray] = []
+    for _, text in _distinct_texts(batches):
+        held.append(shingle_set(text))
+        if len(held) == 256:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["s"])
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["s"])
+
+
+def _sketch(found: np.ndarray) -> bytes:
+    """How often, odd or even, each bit is meant: sketches differ in no more bits than the sets in elements.
+
+    There are as many bits as elements or up to twice as many; halves of a sketch fold to a smaller one.
+    """
+    size = max(LEAST_BITS, 1 << (len(found) - 1).bit_length())
+    odd = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _may_be_alike(n: int, m: int, a: bytes, b: bytes) -> bool:
+    if 5 * min(n, m) < 4 * max(n, m):
+        return False
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= n + m
+
+
+def _sketch_batches(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each set's size, sketch, and first elements: a fifth of it and one more, common shingles last."""
+    types = {"node": pa.int64(), "n": pa.int64(), "bits": pa.binary(), "firsts": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, bytes, bytes]] = []
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.values(), strict=True)], list(types))
+
+        for node, text in _distinct_texts(batches):
+            found = ordered = shingle_set(text)
+            if len(common):
+                place = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                ordered = found[np.argsort(common[place] == found, kind="stable")]
+            held.append((node, len(found), _sketch(found), ordered[: len(found) // 5 + 1].tobytes()))
+            if len(held) == 256:
+                yield rows()
+                held = []
+        if held:
+            yield rows()
+
+    return run
+
+
+def _first_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            firsts = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
+            sizes = [len(x) for x in firsts]
+            columns = [np.concatenate(firsts), *(np.repeat(part.column(k).to_numpy(), sizes) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["s", "node", "n"])
+
+
+def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle and node: those whose shingle other nodes have too, with one node of each shingle."""
+    held: tuple[np.ndarray, ...] | None = None
+
+    def shared(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        s, node, n = part
+        new = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
+        s, node, n = s[new], node[new], n[new]
+        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        sizes = np.diff(np.append(begin, len(s)))
+        turn = (s.view(np.uint64) % np.uint64(len(_TURNS))).astype(np.int64)
+        least = np.minimum.reduceat(node.view(np.uint64) * _TURNS[turn], begin)
+        hub = np.repeat((least * _BACK[turn[begin]]).view(np.int64), sizes)
+        many = np.repeat(sizes > 1, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (s, node, n, hub)], ["s", "node", "n", "hub"])
+
+    for batch in batches:
+        new = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        part = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+        if not len(part[0]):
+            continue
+        cut = int(np.searchsorted(part[0], part[0][-1]))
+        if cut:
+            yield shared(tuple(x[:cut] for x in part))
+        held = tuple(x[cut:] for x in part)
+    if held is not None and len(held[0]):
+        yield shared(held)
+
+
+def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, part, size of the whole set, shingles): each set in ``PARTS`` parts, which keeps rows short."""
+    for node, text in _distinct_texts(batches):
+        found = shingle_set(text)
+        part = found % np.uint64(PARTS)
+        columns = [pa.array([node] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int64()), pa.array([len(found)] * PARTS, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([found[part == k].tobytes() for k in range(PARTS)], pa.binary())], ["node", "part", "n", "shingles"])
+
+
+def _close_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sizes and sketches allow the similarity."""
+    for batch in batches:
+        keep = pa.array([_may_be_alike(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+
+def _both_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles the parts of two sets have in common."""
+    for batch in batches:
+        a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (3, 4))
+        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(both, pa.int64())], ["a", "b", "n", "both"])
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs whose Jaccard similarity is at least 0.8: by sketches first, and what they leave by whole sets."""
+
+    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(of.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in of.columns[1:])), x)
+        return pairs
+
+    close = checkpoint(both(pairs, sketches).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close_batches, "a long, b long"))
+    needed, _ = bounded(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), NODES)
+    sets = texts.join(needed, "node", "left_semi").mapInArrow(_set_batches, "node long, part long, n long, shingles binary")
+    sets = staged(sets.dropDuplicates(["node", "part"]), "shingles")
+    of = [sets.select(F.col("node").alias(x), "part", F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"of_{x}")) for x in "ab"]
+    rows = close.join(of[0], "a").join(of[1], ["b", "part"]).select("a", "b", F.expr("n_a + n_b").alias("n"), "of_a", "of_b")
+    sums = rows.mapInArrow(_both_batches, "a long, b long, n long, both long").groupBy("a", "b", "n").agg(F.sum("both").alias("both"))
+    return sums.where("9 * both >= 4 * n").select("a", "b")
+
+
+def text_hash(column: str = "text") -> Column:
+    """The name of a text among near copies; null counts as the empty text."""
+    return F.xxhash64(utf8(column))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, component_id, component_text) for every document.
+
+    Texts are linked where the Jaccard similarity of their sets of five-word shingles is at least 0.8;
+    a group is named by its smallest (doc_id, text hash).  No such pair is missed: under one order of all
+    shingles, the first fifth of each set, and one more, have an element in common.  Common shingles
+    come last in that order, which only saves work.  Texts that share such an element are first compared
+    with one or a few of those that have it; what is then still apart is compared in pairs.  Sketches leave
+    out pairs that cannot be alike.
+    """
+    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("node"))
+    texts = docs.select(text_hash().alias("node"), utf8("text").alias("text"))
+    some = texts.where(F.pmod("node", F.lit(SPREAD)) == 0).mapInArrow(_shingle_batches, "s long").groupBy("s").count()
+    frequent = some.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
+    common = np.sort(np.array([r.s for r in frequent], np.int64).view(np.uint64))
+    sketched = staged(texts.mapInArrow(_sketch_batches(common), "node long, n long, bits binary, firsts binary"), "sketches")
+    sketches = sketched.select("node", "n", "bits").dropDuplicates(["node"])
+    firsts = sketched.select("node", "n", "firsts").mapInArrow(_first_batches, "s long, node long, n long")
+    spread = firsts.repartition(max(partitions(docs.sparkSession), 1), "s").sortWithinPartitions("s", "node")
+    shared = checkpoint(spread.mapInArrow(_shared_batches, "s long, node long, n long, hub long"))
+    first = checkpoint(shared.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    found = checkpoint(_alike(first, sketches, texts))
+    of = checkpoint(components(found))
+    named = shared.join(of, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c"))
+    x, y = named.alias("x"), named.alias("y")
+    apart = x.join(y, F.expr("x.s = y.s AND x.node < y.node AND x.c != y.c AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
+    second = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = checkpoint(_alike(second, sketches, texts))
+    of = components(found.unionByName(more)) if more.take(1) else of
+
+    least = names.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    least = least.join(of, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
+    heads = least.groupBy("c").agg(F.min(F.struct("doc_id", "node")).alias("head"))
+    heads = least.join(heads, "c").select("node", "head")
+    return names.join(heads, "node", "left").select("doc_id", F.col("node").alias("text_hash"), F.col("head.doc_id").alias("component_id"), F.col("head.node").alias("component_text"))

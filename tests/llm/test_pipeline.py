@@ -43,3 +43,30 @@ def test_stages_take_effect(spark, tmp_path):
 def test_run_returns_pieces(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_near_copies_of_four_fifths(spark):
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    rows: list[tuple[int, str]] = []
+    passage = words(30)
+    for k in range(60):
+        base = words(r.randint(3, 200)) + passage * (k % 2)
+        rows.append((10 * k, " ".join(base)))
+        for j in range(1, r.randint(2, 5)):
+            other = list(base)
+            for _ in range(r.randint(0, 4)):
+                other[r.randrange(len(other))] = f"v{r.randint(0, 5000)}"
+            rows.append((10 * k + j, " ".join(other).upper()))
+    root = {i: i for i, _ in rows}
+    for a, (i, x) in enumerate(rows):
+        for j, y in rows[:a]:
+            p, q = sets(x.lower()), sets(y.lower())
+            if 5 * len(p & q) >= 4 * len(p | q):
+                u, v = root[i], root[j]
+                root = {k: min(u, v) if c in (u, v) else c for k, c in root.items()}
+    want = {i for i, c in root.items() if i == c}
+    docs = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert 60 < len(want) < len(rows) - 20
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
