@@ -9,9 +9,9 @@ Each word, masked, is predicted from the ``SIDE`` words on both sides of it.  Wo
 * A null doc_id keeps its row; other columns are not read.  An empty table gives no row.
 
 Training is data-parallel over every document: in each of ``ROUNDS`` rounds every task starts from
-the same parameters, learns from one position in ``STRIDE`` (another in each round) and sends its
-parameters in fixed point; their mean, weighted by positions, starts the next round.  Sums of whole
-numbers make the result independent of the order of arrival.  Scale: what is shuffled is one parameter
+the same parameters, learns from one position in ``STRIDE`` (another in each round, so that all rounds
+together learn from every position once) and sends its parameters in fixed point; their mean, weighted
+by positions, starts the next round.  Sums of whole numbers make the result independent of the order of arrival.  Scale: what is shuffled is one parameter
 set a task, summed by parameter; the driver gets one set.
 """
 
@@ -33,8 +33,8 @@ HALF = 32
 CLASSES = HALF * HALF  # class 0 stands beyond a document's ends
 SIDE = 2
 HIDDEN = 16
-STRIDE = 16
 ROUNDS = 2
+STRIDE = ROUNDS  # every position in one of the rounds
 BATCH = 2048
 RATE = 0.1
 _FIXED = 1 << 24

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -509,6 +510,14 @@ def test_gradients():
 
 # ------------------------------------------------------------------ empty tables
 
+def test_training_covers_every_position():
+    texts = [raw("a b c d e f g h " * 9), raw("x y z"), b"", raw("one"), raw("a b c d e f g h " * 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    net, words = pseudo_likelihood.Network.new(), sum(len(pseudo_likelihood.classes_of(t)) for t in texts)
+    seen = [next(pseudo_likelihood._train_batches(net, k)(iter([batch]))).column(1)[-1].as_py() for k in range(pseudo_likelihood.ROUNDS)]
+    assert sum(seen) == words and min(seen) > 0
+
+
 
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
