@@ -266,3 +266,10 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert parse_goal("p(X)").pred == "p"
+
+
+def test_defeasible_reads_every_supplier(spark, tmp_path):
+    n = 10_500
+    spark.range(n).selectExpr("id AS s_suppkey", "id % 3 - 1.0D AS s_acctbal", "id % 11 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = sorted(r.s for r in catalog.queries()["DEF_2_defeasible"](spark, str(tmp_path)).collect())
+    assert got == sorted(f"s{k}" for k in range(n) if k % 3 or k % 11 == 7)
