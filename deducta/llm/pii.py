@@ -100,7 +100,7 @@ _AT = re.compile(r"\s{0,2}(?:\[at\]|\(at\)|\{at\}|\sat\s)\s{0,2}", re.I)
 _LEFT = re.compile(r"[A-Za-z0-9._+-]{1,64}$")
 _RIGHT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\s{0,2}(?:\[dot\]|\(dot\)|\{dot\}|\sdot\s)\s{0,2}|\.)[A-Za-z0-9-]{1,63}){1,4}", re.I)
 _DIGITS = re.compile(r"(?<![0-9])[+(]{0,2}[0-9](?:[ ().\-/]{0,2}[0-9]){6,30}(?![0-9])")
-_KEY = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,200}(?![A-Za-z0-9_/+=-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")
 _IP6 = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Fa-f:])")
@@ -272,7 +272,7 @@ def examples(count: int = 6000, seed: int = 7) -> list[tuple[str, Span, bool]]:
     good = {
         "email": (lambda: f"{word()}{r.choice(['.', '', '_'])}{word()}{at()}{word()}{dot()}{r.choice(['com', 'org', 'net', 'example', 'de'])}", ["email", "mail me:", "contact", "write to", ""]),
         "phone": (lambda: r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(7)}", f"+{num(2)} {num(3)} {num(3)} {num(4)}"]), ["tel", "phone:", "call", "fax", "mobile"]),
-        "key": (lambda: r.choice([hexes(40), hexes(32), some(32), "sk_" + some(29)]), ['token = "', "api key: ", 'secret="', "password ", "Authorization: Bearer "]),
+        "key": (lambda: r.choice([hexes(40), hexes(32), some(32), "sk_" + some(29), some(r.randint(60, 1500))]), ['token = "', "api key: ", 'secret="', "password ", "Authorization: Bearer "]),
         "iban": (iban, ["IBAN", "account", "bank", "konto", ""]),
         "ssn": (lambda: f"{num(3)}-{num(2)}-{num(4)}", ["SSN", "social security", "tax id", "ssn:"]),
         "ip6": (lambda: ":".join(hexes(4) for _ in range(8)), ["ip", "host", "server", "from", ""]),
@@ -280,7 +280,7 @@ def examples(count: int = 6000, seed: int = 7) -> list[tuple[str, Span, bool]]:
     bad = {
         "email": (lambda: r.choice([f"{word()} at {word()}.{word().capitalize()}", f"{word()} at {word()}.{word().upper()}", f"{word()} at {num(1)}.{num(1)}"]), ["looking", "we met", "is", "ends"]),
         "phone": (lambda: r.choice([f"20{num(2)}-{num(2)}-{num(2)} {num(2)}", num(16), num(16), num(16), num(9), f"{num(3)}.{num(3)}.{num(3)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(4)} {num(4)} {num(4)}", f"{num(2)}.{num(2)}.{num(2)}.{num(2)}", num(12)]), ["isbn", "order", "invoice", "part", "", "version", "page", word(), word(), "date"]),
-        "key": (lambda: r.choice(["-".join(word() for _ in range(6)), "".join(word() for _ in range(5)), "/".join(word() for _ in range(5)), hexes(40), "=" * 30, "-" * 25, num(24)]), ["commit ", "sha ", "md5 ", "see ", "", "path ", word() + " "]),
+        "key": (lambda: r.choice(["-".join(word() for _ in range(6)), "".join(word() for _ in range(5)), "/".join(word() for _ in range(5)), hexes(40), "=" * 30, "-" * 25, num(24), r.choice("=-_") * r.randint(60, 1500), r.choice("-/_").join(word() for _ in range(r.randint(12, 200)))]), ["commit ", "sha ", "md5 ", "see ", "", "path ", word() + " "]),
         "iban": (lambda: f"{r.choice(['AB', 'XK', 'PN', 'SN'])}{num(2)} {some(4).upper()} {some(4).upper()} {some(4).upper()}", ["part", "serial", "sku", ""]),
         "ssn": (lambda: f"{num(3)}-{num(2)}-{num(4)}", ["part", "order", "sku", "section", word()]),
         "ip6": (lambda: r.choice([f"{num(2)}:{num(2)}:{num(2)}", "::", f"{num(1)}::{num(1)}", f"{hexes(2)}:{hexes(2)}:{hexes(2)}"]), ["date", "at", "page", word(), "std"]),

@@ -422,6 +422,19 @@ def test_held_out_spans():
     assert sum(h and p for h, p in zip(hit, truth, strict=True)) >= 0.9 * sum(hit)
 
 
+def test_long_keys():
+    r = random.Random(4)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    model = pii.train()
+    for n in (200, 201, 333, 1000):
+        for cue in ('token = "', "Authorization: Bearer ", "api key: "):
+            key = "".join(r.choice(signs) for _ in range(n))
+            text = f"see the {cue}{key} and more"
+            assert pii.redact_text(text, model.spans(text)[1]) == f"see the {cue}[KEY] and more", (n, cue)
+        for plain in ("=" * n, "-" * n, "/".join(["usr", "share", "lib"] * n)):
+            assert not model.spans(f"see {plain} and more")[1]
+
+
 def test_find_and_redact(spark):
     rows = [(1, "é a@b.cd 10.0.0.1"), (2, None), (None, ""), (3, "clean")]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string")
@@ -497,6 +510,14 @@ def test_pseudo_likelihood(spark, docs, rows):
     assert np.isclose(logs[0], net.log_probability(flat[:1], context)[0]) and counts.tolist() == [6, 0, 1]
 
 
+def test_training_covers_every_position():
+    texts = [raw("a b c d e f g h " * 9), raw("x y z"), b"", raw("one"), raw("a b c d e f g h " * 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    net, words = pseudo_likelihood.Network.new(), sum(len(pseudo_likelihood.classes_of(t)) for t in texts)
+    seen = [next(pseudo_likelihood._train_batches(net, k)(iter([batch]))).column(1)[-1].as_py() for k in range(pseudo_likelihood.ROUNDS)]
+    assert sum(seen) == words and min(seen) > 0
+
+
 def test_gradients():
     net = pseudo_likelihood.Network.new()
     r = np.random.default_rng(1)
@@ -510,14 +531,6 @@ def test_gradients():
 
 # ------------------------------------------------------------------ empty tables
 
-def test_training_covers_every_position():
-    texts = [raw("a b c d e f g h " * 9), raw("x y z"), b"", raw("one"), raw("a b c d e f g h " * 9)]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
-    net, words = pseudo_likelihood.Network.new(), sum(len(pseudo_likelihood.classes_of(t)) for t in texts)
-    seen = [next(pseudo_likelihood._train_batches(net, k)(iter([batch]))).column(1)[-1].as_py() for k in range(pseudo_likelihood.ROUNDS)]
-    assert sum(seen) == words and min(seen) > 0
-
-
 
 def test_empty_tables(spark, none):
     items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
