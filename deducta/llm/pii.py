@@ -6,7 +6,8 @@ for each generator selects those to redact, the most likely first, where no base
 
 * A null or empty text has no span.  Positions are code points, ends exclusive.
 * Base kinds: email, ip, card, phone.  Added kinds: email, phone, key (secrets), iban, ssn, ip6.
-* Every pattern is scanned in time linear in the text, however long.
+* Every pattern is scanned, and the candidates are selected, in time linear in the text, however long;
+  memory is the text, a byte for each of its characters and its spans.
 * Repeated rows are treated alike; a null doc_id keeps its row; other columns are not read.
 
 The trees are trained here on invented examples from a fixed seed (``examples``): formats that the
@@ -310,17 +311,19 @@ class Model:
         found = candidates(text)
         if not found:
             return []
-        taken = sorted((a, b) for _, a, b in base)
-        found = [c for c in found if not _overlaps(taken, c)]
+        taken = bytearray(len(text))  # 1 where a span lies: each candidate costs its own length
+        for _, a, b in base:
+            taken[a:b] = b"\1" * (b - a)
+        found = [c for c in found if taken.find(1, c[1], c[2]) < 0]
         if not found:
             return []
-        p = self.trees.probability(np.array([features(text, c) for c in found], float))
+        p = np.concatenate([self.trees.probability(np.array([features(text, c) for c in found[k : k + 4096]], float)) for k in range(0, len(found), 4096)])
         out: list[Span] = []
         for k in np.lexsort((np.arange(len(found)), -p)).tolist():
             c = found[k]
-            if p[k] >= self.limits.get(c[0], 2.0) and not _overlaps(taken, c):
+            if p[k] >= self.limits.get(c[0], 2.0) and taken.find(1, c[1], c[2]) < 0:
                 out.append(c)
-                taken = sorted([*taken, (c[1], c[2])])
+                taken[c[1] : c[2]] = b"\1" * (c[2] - c[1])
         return out
 
     def spans(self, text: str) -> tuple[list[Span], list[Span]]:
@@ -329,10 +332,6 @@ class Model:
         return base, sorted(base + self.added(text, base), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def _overlaps(taken: list[tuple[int, int]], span: Span) -> bool:
-    return any(a < span[2] and span[1] < b for a, b in taken)
-
-
 @lru_cache(maxsize=1)
 def train(precision: float = 0.99) -> Model:
     """Trees on two thirds of the examples; thresholds that reach the precision on the rest, by kind."""
