@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(frames: Iterator[DataFrame], name: str, schema: str) -> DataFrame:
+    """The rows of all frames, written one frame after another into one stored table."""
+    path = spark = None
+    for df in frames:
+        spark = df.sparkSession
+        path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def utf8(column: str | Column) -> Column:
     """The text's UTF-8 bytes; null counts as the empty text."""
     c = F.col(column) if isinstance(column, str) else column
@@ -56,6 +67,21 @@ def bounded(df: DataFrame, most: int) -> tuple[DataFrame, int]:
     return (F.broadcast(rows) if n <= most else rows), n
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, least: int = 10_000, most: int = 100_000) -> DataFrame:
+    """``rows`` left-joined to ``counted`` (key, n, ...), which has one row a key and how many rows hold it.
+
+    Of the keys of over ``least`` rows, the ``most`` most frequent are sent to every executor, so that no task
+    gets all rows of a hot key; the others meet in a shuffle.
+    """
+    ranked = counted.where(F.col("n") > least).orderBy(F.desc("n"), key).limit(most)
+    hot = checkpoint(ranked.drop("n").withColumn("_hot", F.lit(True)))
+    if hot.isEmpty():
+        return rows.join(counted.drop("n"), key, "left")
+    met = rows.join(F.broadcast(hot), key, "left")
+    cold = met.where("_hot IS NULL").select(*rows.columns).join(counted.drop("n"), key, "left")
+    return met.where("_hot").drop("_hot").unionByName(cold)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -13,7 +13,9 @@ counts what benchmark windows hit in every document.
 Scale: the index is partitioned by document: a row is the index of a run of whole documents of about
 ``SHARD_BYTES`` text, built where the documents are read, so nothing is shuffled and a term that
 occurs everywhere is as spread as its documents.  The benchmark is sent out in blocks of at most
-``BLOCK_WORDS`` words, one search of the stored index each, however large it is.
+``BLOCK_WORDS`` words, one search of the stored index each; the driver holds two of them, however large it is.
+A very long text is a shard of its own, some 30 bytes of memory a word; the postings of the rarest terms are
+followed ``SLICE`` at a time, so words that are everywhere cost time, not memory.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, utf8
+from .common import appended, staged, utf8
 
 WINDOW = 10
 SHARD_BYTES = 1 << 20
 BLOCK_WORDS = 200_000
+SLICE = 1 << 18  # postings followed at a time
 
 _KEPT = b"0123456789abcdefghijklmnopqrstuvwxyz"
 _FOLD = bytes(ord(chr(c).lower()) if 65 <= c <= 90 else c if c >= 128 or c in _KEPT else 32 for c in range(256))
@@ -119,7 +123,6 @@ class Shard:
         none = np.zeros(0, np.int64)
         if not len(phrases) or not len(self.keys):
             return none, none
-        length = phrases.shape[1]
         known = np.fromiter((self.terms.get(w, -1) for w in vocabulary), np.int64, len(vocabulary))
         term = known[phrases]
         which = np.flatnonzero((term >= 0).all(axis=1))
@@ -129,11 +132,20 @@ class Shard:
         sizes = np.diff(self.first)[term]
         order = np.argsort(sizes, axis=1, kind="stable")
         rarest = np.take_along_axis(term, order[:, :1], 1)[:, 0]
-        n = np.take_along_axis(sizes, order[:, :1], 1)[:, 0]
-        row = np.repeat(np.arange(len(which)), n)
-        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[rarest], n)
-        start = (self.keys[at] & 0xFFFFFFFF) - order[row, 0]
-        anchor = start + order[row, 0]
+        ends = np.cumsum(np.take_along_axis(sizes, order[:, :1], 1)[:, 0])
+        found = [(none, none)]
+        for low in range(0, int(ends[-1]), SLICE):  # so many postings of the rarest terms at a time, wherever a list is cut
+            place = np.arange(low, min(low + SLICE, int(ends[-1])))
+            row = np.searchsorted(ends, place, "right")
+            at = self.first[rarest[row] + 1] - (ends[row] - place)
+            row, start = self._follow(term, order, row, self.keys[at] & 0xFFFFFFFF, slop)
+            found.append((which[row], start))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _follow(self, term: np.ndarray, order: np.ndarray, row: np.ndarray, anchor: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places where a phrase's rarest word stands, those with all other words: (row of ``term``, start)."""
+        length = term.shape[1]
+        start = anchor - order[row, 0]
         doc = np.searchsorted(self.starts, anchor, "right") - 1
         if not slop:
             ok = (start >= self.starts[doc]) & (start + length <= self.starts[doc + 1])
@@ -149,7 +161,7 @@ class Shard:
             ok = (found < len(self.keys)) & (low <= high)
             ok &= self.keys[np.minimum(found, len(self.keys) - 1)] <= (want | np.maximum(high, 0))
             row, start, doc = row[ok], start[ok], doc[ok]
-        return which[row], start
+        return row, start
 
 
 def _phrases(texts: list[tuple[object, bytes]], window: int) -> tuple[list[bytes], dict[int, np.ndarray], dict[int, list[list[object]]]]:
@@ -196,10 +208,12 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
 
     start counts words; with slop it is where the phrase would begin by its rarest word's place.
     """
-    out = None
-    for vocabulary, rows, owners in _blocks(phrases.select(F.col("phrase_id").cast("string"), utf8("text")), 1 << 30):
+    schema = "phrase_id string, doc_id long, start long"
 
-        def find(s: Shard, vocabulary=vocabulary, rows=rows, owners=owners) -> pa.RecordBatch:
+    def searched(block: tuple) -> DataFrame:
+        vocabulary, rows, owners = block
+
+        def find(s: Shard) -> pa.RecordBatch:
             found = []
             for n, table in rows.items():
                 which, start = s.matches(vocabulary, table, slop)
@@ -208,9 +222,11 @@ def search(index: DataFrame, phrases: DataFrame, slop: int = 0) -> DataFrame:
             columns = list(zip(*found, strict=True)) or [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["phrase_id", "doc_id", "start"])
 
-        part = index.mapInArrow(_searching(find), "phrase_id string, doc_id long, start long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        return index.mapInArrow(_searching(find), schema)
+
+    blocks = _blocks(phrases.select(F.col("phrase_id").cast("string"), utf8("text")), 1 << 30)
+    first, others = _first(blocks)
+    return searched(first) if others is None else appended(map(searched, others), "matches", schema)
 
 
 def _hits(s: Shard, vocabulary: list[bytes], rows: dict[int, np.ndarray], owners: dict[int, list[list[object]]]) -> tuple[np.ndarray, list[set]]:
@@ -235,47 +251,61 @@ def _report(ids: list, counts: list[int], hit: list[int], items: list[set]) -> p
 
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-PART = "shard long, place int, doc_id long, n_words long, hits array<int>, items array<string>"
+HITS = "shard long, place int, hits array<int>, items array<string>"
+WORDS = "shard long, place int, doc_id long, n_words long"
 
 
 def _merge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        counts = [len(set(h)) for h in b.column(2).to_pylist()]
-        yield _report(b.column(0).to_pylist(), b.column(1).to_pylist(), counts, [set(x) for x in b.column(3).to_pylist()])
+        counts = [len({p for x in h or () for p in x}) for h in b.column(2).to_pylist()]
+        yield _report(b.column(0).to_pylist(), b.column(1).to_pylist(), counts, [{i for x in found or () for i in x} for found in b.column(3).to_pylist()])
+
+
+def _word_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document of the index."""
+    for b in batches:
+        for r in range(b.num_rows):
+            number, ids, nulls, words = (b.column(c)[r].as_py() for c in range(4))
+            n = np.frombuffer(words, np.int32).astype(np.int64)
+            doc_ids = pa.array(np.frombuffer(ids, np.int64), pa.int64(), mask=np.frombuffer(nulls, bool))
+            columns = [pa.array(np.full(len(n), number)), pa.array(np.arange(len(n), dtype=np.int32)), doc_ids, pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "place", "doc_id", "n_words"])
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """A row for each document: its words, those that benchmark windows hit, and the items."""
+    """A row for each document: its words, those that benchmark windows hit, and the items.
+
+    A benchmark of one block is answered in the search itself.  Of a larger one, the driver holds a block at a
+    time: each search stores the hits of the documents that have any, which are then put together.
+    """
     index = build_index(docs)
-    out = None
-    for block, more in _peek(_blocks(items.select(F.col("item_id").cast("string"), utf8("text")), window)):
-        if out is None and not more:
 
-            def whole(s: Shard, block=block) -> pa.RecordBatch:
-                hit, found = _hits(s, *block)
-                sums = np.concatenate([[0], np.cumsum(hit)])[s.starts]
-                return _report(s.ids, s.words.tolist(), np.diff(sums).tolist(), found)
+    def hits(block: tuple) -> DataFrame:
+        def part(s: Shard) -> pa.RecordBatch:
+            hit, found = _hits(s, *block)
+            rows = [(s.number, d, np.flatnonzero(hit[s.starts[d] : s.starts[d + 1]]).tolist(), sorted(found[d])) for d in range(len(s.ids)) if hit[s.starts[d] : s.starts[d + 1]].any()]
+            types = (pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, types, strict=True)], [c.split()[0] for c in HITS.split(", ")])
 
-            return index.mapInArrow(_searching(whole), REPORT)
+        return index.mapInArrow(_searching(part), HITS)
 
-        def part(s: Shard, block=block) -> pa.RecordBatch:
-            hit, found = _hits(s, *block)
-            n = len(s.ids)
-            hits = [np.flatnonzero(hit[s.starts[d] : s.starts[d + 1]]).tolist() for d in range(n)]
-            columns = [pa.array([s.number] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(s.ids, pa.int64()), pa.array(s.words.tolist(), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in PART.split(", ")])
-
-        found = index.mapInArrow(_searching(part), PART)
-        out = found if out is None else out.unionByName(found)
-    gather = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  one document's hits: no more than its words a block
-    merged = out.groupBy("shard", "place").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), gather("hits"), gather("items"))
-    return merged.select("doc_id", "n_words", "hits", "items").mapInArrow(_merge_batches, REPORT)
-
-
-def _peek(blocks: Iterator) -> Iterator[tuple]:
-    """Each block, and whether another follows."""
-    last = next(blocks)
-    for block in blocks:
-        yield last, True
-        last = block
-    yield last, False
+    first, others = _first(_blocks(items.select(F.col("item_id").cast("string"), utf8("text")), window))
+    if others is None:
+
+        def whole(s: Shard) -> pa.RecordBatch:
+            hit, found = _hits(s, *first)
+            sums = np.concatenate([[0], np.cumsum(hit)])[s.starts]
+            return _report(s.ids, s.words.tolist(), np.diff(sums).tolist(), found)
+
+        return index.mapInArrow(_searching(whole), REPORT)
+    found = appended(map(hits, others), "hits", HITS)
+    merged = found.groupBy("shard", "place").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))  # no more than its words a block
+    words = index.select("shard", "doc_ids", "doc_nulls", "doc_words").mapInArrow(_word_batches, WORDS)
+    return words.join(merged, ["shard", "place"], "left").select("doc_id", "n_words", "hits", "items").mapInArrow(_merge_batches, REPORT)
+
+
+def _first(blocks: Iterator[tuple]) -> tuple[tuple, Iterator[tuple] | None]:
+    """The first block, and all blocks where there are more."""
+    first = next(blocks)
+    second = next(blocks, None)
+    return first, None if second is None else chain((first, second), blocks)

@@ -5,7 +5,8 @@ distinct fingerprints within the radius; ``components`` names each connected gro
 smallest document.  ``near_copies`` groups documents by exact resemblance of wider shingles instead.
 
 * Null and empty texts have no words: fingerprint zero, linked like any other.
-* Texts of fewer than three words hash their whole word sequence.
+* Texts of fewer than three words hash their whole word sequence; very long ones are hashed ``SLICE`` bytes at
+  a time, so memory is the text and some ten times a slice.
 * Repeated rows: equal fingerprints are one node, so a group of copies of any size costs one row.
 * A null doc_id keeps its row; it names no component, and its component is that of its fingerprint.
 * Other columns of the input are not read, whatever their names.
@@ -19,6 +20,7 @@ spanning forest of its links leaves the task.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -28,41 +30,61 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpoint, partitions, staged, utf8
+from .common import bounded, checkpoint, join_counted, partitions, staged, utf8
 
 RADIUS = 3
 BUCKET = 2048
 WIDTHS = (13, 13, 13, 13, 12)
+SLICE = 1 << 20  # bytes of a text that are hashed at a time
+MANY = 1_000_000  # large buckets that are sent to every executor at most
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def shingle_hashes(text: bytes, size: int = 3, seed: int = 42) -> np.ndarray:
-    """XXH64 of each run of ``size`` words of the A-Z-lowered text; one hash of a shorter sequence."""
-    words = text.lower().split()  # bytes: lowers A-Z alone, splits at \x20 and \x09-\x0D alone
-    if not words:
-        return np.zeros(0, np.uint64)
+def _hash_runs(words: list[bytes], size: int, seed: int) -> np.ndarray:
     line = b" ".join(words)
     if len(words) <= size:
         return np.array([xxhash.xxh64_intdigest(line, seed)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths)[: 1 - size].tolist()
+    starts = (ends - lengths)[: len(words) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
     return np.array([digest(line[s:e], seed) for s, e in zip(starts, ends[size - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def simhash(hashes: np.ndarray) -> int:
+def shingle_parts(text: bytes, size: int = 3, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of each run of ``size`` words of the A-Z-lowered text, ``SLICE`` bytes of it at a time; one hash of a shorter sequence."""
+    held: list[bytes] = []
+    at, cut_before = 0, False
+    while at < len(text):
+        space = _SPACE.search(text, at + SLICE)  # a word that is longer is taken whole
+        end = space.start() if space else len(text)
+        held += text[at:end].lower().split()  # bytes: lowers A-Z alone, splits at \x20 and \x09-\x0D alone
+        at = end
+        if at < len(text) and len(held) > size:
+            yield _hash_runs(held, size, seed)
+            held, cut_before = held[len(held) - size + 1 :], True
+    if held and (not cut_before or len(held) >= size):
+        yield _hash_runs(held, size, seed)
+
+
+def shingle_hashes(text: bytes, size: int = 3, seed: int = 42) -> np.ndarray:
+    """All parts of ``shingle_parts``."""
+    return np.concatenate([np.zeros(0, np.uint64), *shingle_parts(text, size, seed)])
+
+
+def simhash(parts: Iterator[np.ndarray]) -> int:
     """Bit b is 1 if it is set in over half the hashes; zero of none."""
-    n = len(hashes)
-    if not n:
-        return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    ones = bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    n, ones = 0, np.zeros(64, np.int64)
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int32)
+        n += len(hashes)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = np.array([simhash(shingle_hashes(t.as_buffer().to_pybytes())) for t in batch.column(1)], np.uint64)
+        prints = np.array([simhash(shingle_parts(t.as_buffer().to_pybytes())) for t in batch.column(1)], np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
 
@@ -219,6 +241,7 @@ def links(nodes: DataFrame) -> DataFrame:
     keys = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(_masks())]))
     rows = nodes.select("fp", "node", keys.alias("k")).select("fp", "node", "k.t", "k.key")
     large = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
+    large, _ = bounded(large, MANY)
     parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / BUCKET).cast("int")
     dealt = (
         rows.join(large, ["t", "key"], "left")
@@ -245,8 +268,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
 
     def star(sym: DataFrame) -> DataFrame:
-        least = sym.groupBy("a").agg(F.min("b").alias("m"))
-        return sym.join(least.select("a", F.least("a", "m").alias("m")), "a")
+        least = sym.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        return join_counted(sym, least.select("a", "n", F.least("a", "m").alias("m")), "a")
 
     def marks(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -269,13 +292,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every document."""
     prints = checkpoint(fingerprints(docs))
-    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    nodes = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
     named = nodes.where("node IS NOT NULL")
     groups = components(links(named))
-    of = named.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(of, "fp", "left").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    of = named.join(groups, "node", "left").select("fp", "n", F.coalesce("component", "node").alias("component_id"))
+    return join_counted(prints, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # ---------------------------------------------------------------- near copies by exact resemblance

@@ -77,6 +77,26 @@ def test_simhash_components(docs, rows):
     assert got == expected
 
 
+def test_sliced_shingles(monkeypatch):
+    r = random.Random(1)
+    for _ in range(2000):
+        monkeypatch.setattr(simhash, "SLICE", r.choice([1, 2, 5, 30, 1000]))
+        text = "".join(r.choice(["aB", " ", "c\t", "\n", "  ", "longerword"]) for _ in range(r.randint(0, 40)))
+        assert simhash.simhash(simhash.shingle_parts(text.encode())) == brute_print(text)
+
+
+def test_hot_keys_are_joined_whole(spark):
+    from pyspark.sql import functions as F
+
+    from deducta.llm.common import join_counted
+
+    rows = spark.createDataFrame([(k % 3 if k < 90 else k, k) for k in range(100)] + [(None, 0)], "x long, y long")
+    counted = rows.where("x != 95").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    want = sorted(map(tuple, rows.join(counted.drop("n"), "x", "left").collect()), key=str)
+    for least, most in ((5, 10), (5, 2), (1000, 10), (0, 1000)):
+        assert sorted(map(tuple, join_counted(rows, counted, "x", least, most).collect()), key=str) == want
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_close_pairs(radius):
     r = np.random.default_rng(1)
@@ -147,9 +167,10 @@ def brute_words(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-@pytest.mark.parametrize("block", [200_000, 15])
-def test_contamination(spark, docs, rows, block, monkeypatch):
+@pytest.mark.parametrize(("block", "piece"), [(200_000, 1 << 18), (15, 7)])
+def test_contamination(spark, docs, rows, block, piece, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block)
+    monkeypatch.setattr(decontaminate, "SLICE", piece)
     bench = [(1, " ".join(brute_words(rows[7][1])[40:60])), (2, "one"), (3, None), (4, "!!"), (10, rows[20][1]), (11, rows[20][1]), (5, "not there at all")]
     items = spark.createDataFrame(bench, "item_id long, text string")
     windows = defaultdict(set)
@@ -413,6 +434,34 @@ def test_added_spans():
         assert model.spans(text)[1] == [], text
 
 
+def test_many_candidates_take_linear_time():
+    import time
+
+    model = pii.train()
+    seconds = []
+    for n in (2000, 32_000):
+        text = " ".join(f"call (212) 555-{k % 10_000:04d}" for k in range(n))
+        start = time.process_time()
+        assert len(model.spans(text)[1]) == n
+        seconds.append(time.process_time() - start)
+    assert seconds[1] < 64 * max(seconds[0], 0.02)
+
+
+def test_likelier_candidates_come_first():
+    model = pii.train()
+    r = random.Random(3)
+    for _ in range(300):
+        text = " ".join(r.choice(["SSN", "078-05-1120", "call", "212-555-0187", "4111111111111111", "token", "04dbebab91ab85687d33eeaaf9ac699e1188f962", "a.b@c.de", "10.0.0.1", "+49 170 1234567"]) for _ in range(r.randint(1, 12)))
+        base = pii.base_spans(text)
+        found = [c for c in pii.candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in base)]
+        p = model.trees.probability(np.array([pii.features(text, c) for c in found], float)) if found else []
+        chosen = []
+        for k in sorted(range(len(found)), key=lambda k: (-p[k], k)):
+            if p[k] >= model.limits.get(found[k][0], 2) and not any(c[1] < found[k][2] and found[k][1] < c[2] for c in chosen):
+                chosen.append(found[k])
+        assert model.added(text, base) == chosen
+
+
 def test_held_out_spans():
     rows = pii.examples(600, seed=99)
     model = pii.train()
