@@ -1,16 +1,21 @@
 """Telephony audio: G.711 mu-law and A-law, IMA ADPCM blocks, resampling, and WAVE storage.
 
-Decoders work on numpy arrays: companded bytes through 256-entry tables, ADPCM across all blocks
-at once (one step a sample position, every block in parallel).  ``store`` keeps payloads as mu-law
-WAVE bytes in a table in the shared folder; ``describe`` reads them back, expands and resamples them.
+Decoders work on numpy arrays: companded bytes through 256-entry tables, ADPCM across all blocks of
+many files at once (one step a sample position, every block in parallel).  ``store`` keeps payloads as
+WAVE bytes in a table in the shared folder: as mu-law or A-law samples or as the codes of ADPCM blocks, by the
+payload's CRC-32 modulo 3.  ``resampled`` reads them back, expands and resamples them and stores 16-bit PCM;
+``describe`` takes the features from the PCM that was stored.
 
 * A null text counts as empty; an empty payload is padded to one unit of 64 bytes.
 * Equal texts give equal values; repeated rows are stored each.  A null doc_id keeps its row.
 * Very long texts: a WAVE file states lengths in 32 bits, so a payload of 4 GiB is refused (a Spark
-  string holds at most 2 GiB).
+  string holds at most 2 GiB).  Work is done ``SLICE`` samples or blocks at a time; what is held of a text is
+  its bytes, its file and its 16-bit samples.
 * Other columns of the input are not read, whatever their names; an empty table gives no row.
 
-Scale: nothing is shuffled; memory is one Arrow batch and some arrays of one text.
+Scale: nothing is shuffled; memory is one Arrow batch and the samples of ``GROUP`` bytes or one longer text.
+PCM is stored at ``STORED_RATE`` (a parameter of ``resampled``): below the source's rate samples are averaged
+over the target's period, above it interpolated.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,11 @@ from .common import staged, utf8
 
 UNIT = 64
 RATE = 8000  # samples a second, of the telephone network
+STORED_RATE = 4000
 MULAW, ALAW, IMA, PCM = 7, 6, 17, 1  # WAVE format tags
+BLOCK = 4 + UNIT  # an ADPCM block: its header and a unit of codes
+SLICE = 1 << 16
+GROUP = 1 << 20  # payload bytes of files that are decoded together
 
 
 def mulaw_table() -> np.ndarray:
@@ -68,14 +77,23 @@ def ima_decode(blocks: np.ndarray) -> np.ndarray:
     count, size = blocks.shape
     if size < 4:
         raise ValueError("a block has a header of four bytes")
+    out = np.empty((count, 2 * (size - 4) + 1), np.int16)
+    step = max(1, SLICE // size)
+    for at in range(0, count, step):
+        out[at : at + step] = _ima_slice(blocks[at : at + step])
+    return out
+
+
+def _ima_slice(blocks: np.ndarray) -> np.ndarray:
+    count, size = blocks.shape
     value = blocks[:, :2].copy().view("<i2")[:, 0].astype(np.int32)
     index = np.minimum(blocks[:, 2].astype(np.int32), len(STEPS) - 1)
-    codes = np.empty((count, 2 * (size - 4)), np.int32)
-    codes[:, ::2], codes[:, 1::2] = blocks[:, 4:] & 15, blocks[:, 4:] >> 4
-    out = np.empty((codes.shape[1] + 1, count), np.int16)
+    codes = np.empty((2 * (size - 4), count), np.int32)
+    codes[::2], codes[1::2] = (blocks[:, 4:] & 15).T, (blocks[:, 4:] >> 4).T
+    out = np.empty((len(codes) + 1, count), np.int16)
     out[0] = value
-    for k in range(codes.shape[1]):  # a sample position at a time, across the blocks
-        code, step = codes[:, k], STEPS[index]
+    for k, code in enumerate(codes):  # a sample position at a time, across the blocks
+        step = STEPS[index]
         change = (step >> 3) + np.where(code & 4, step, 0) + np.where(code & 2, step >> 1, 0) + np.where(code & 1, step >> 2, 0)
         value = np.clip(value + np.where(code & 8, -change, change), -32768, 32767)
         index = np.clip(index + INDEX_CHANGE[code], 0, len(STEPS) - 1)
@@ -84,15 +102,27 @@ def ima_decode(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(samples: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Linear interpolation in whole numbers: sample k of the target stands at k * source / target."""
+    """Whole-number resampling.
+
+    Up: linear interpolation, sample k of the target standing at k * source / target.  Down: the mean, rounded
+    down, of the source over the time from k / target to (k + 1) / target.
+    """
     n = len(samples)
-    if not n:
-        return np.zeros(0, np.int16)
-    at = np.arange(n * target // source, dtype=np.int64) * source
-    left, part = at // target, at % target
-    x = samples.astype(np.int64)
-    right = x[np.minimum(left + 1, n - 1)]
-    return ((x[left] * (target - part) + right * part) // target).astype(np.int16)
+    out = np.empty(n * target // source, np.int16)
+    for low in range(0, len(out), SLICE):
+        k = np.arange(low, min(low + SLICE, len(out)), dtype=np.int64)
+        first = int(k[0]) * source // target
+        x = samples[first : min(n, (int(k[-1]) + 1) * source // target + 2)].astype(np.int64)
+        if target >= source:
+            left, part = k * source // target - first, k * source % target
+            out[low : low + len(k)] = (x[left] * (target - part) + x[np.minimum(left + 1, len(x) - 1)] * part) // target
+        else:
+            sums = np.concatenate([[0], np.cumsum(x)])
+            x = np.append(x, 0)
+            edge = np.append(k, k[-1] + 1) * source
+            whole = edge // target - first
+            out[low : low + len(k)] = np.diff(sums[whole] * target + x[whole] * (edge % target)) // source
+    return out
 
 
 def wave(tag: int, data: bytes, rate: int = RATE, align: int = 1, extra: bytes = b"") -> bytes:
@@ -140,66 +170,112 @@ def decode(media: bytes) -> tuple[np.ndarray, int]:
 
 def features(samples: np.ndarray) -> str:
     """Whole-number features of PCM: samples, mean square, mean, peak, sign changes, and a CRC of it all."""
-    x = samples.astype(np.int64)
-    n = len(x)
+    n = len(samples)
     if not n:
         return "n=0"
-    changes = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"n={n};ms={int(x @ x) // n};mean={int(x.sum()) // n};peak={int(np.abs(x).max())};zc={changes};crc={zlib.crc32(samples.astype('<i2').tobytes())}"
+    squares = total = peak = changes = crc = 0
+    for at in range(0, n, SLICE):
+        part = samples[at : at + SLICE]
+        x = part.astype(np.int64)
+        squares, total, peak = squares + int(x @ x), total + int(x.sum()), max(peak, int(np.abs(x).max()))
+        below = samples[max(0, at - 1) : at + SLICE] < 0
+        changes += int(np.count_nonzero(below[1:] != below[:-1]))
+        crc = zlib.crc32(part.astype("<i2").tobytes(), crc)
+    return f"n={n};ms={squares // n};mean={total // n};peak={peak};zc={changes};crc={crc}"
 
 
 def _pad(text: bytes) -> bytes:
     return text + b"\0" * (max(UNIT, -(-len(text) // UNIT) * UNIT) - len(text))
 
 
+def encapsulate(payload: bytes) -> bytes:
+    """A WAVE file whose samples, or ADPCM codes, are the payload's bytes (a multiple of ``UNIT``)."""
+    tag = (MULAW, ALAW, IMA)[zlib.crc32(payload) % 3]
+    if tag != IMA:
+        return wave(tag, payload)
+    blocks = np.zeros((len(payload) // UNIT, BLOCK), np.uint8)  # a block starts at sample 0 and the first step
+    blocks[:, 4:] = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    return wave(IMA, blocks.tobytes(), align=BLOCK, extra=struct.pack("<H", 2 * UNIT + 1))
+
+
+def payload_of(media: bytes) -> bytes:
+    """The payload that ``encapsulate`` was given."""
+    tag, _, align, data = parse_wave(media)
+    return bytes(data) if tag != IMA else np.frombuffer(data, np.uint8).reshape(-1, align)[:, 4:].tobytes()
+
+
+def decode_all(files: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """What ``decode`` gives for each file; ADPCM blocks of one size are decoded together, whatever file they are from."""
+    parsed = [parse_wave(f) for f in files]
+    out: list = [None if p[0] == IMA else decode(f) for f, p in zip(files, parsed, strict=True)]
+    for align in {p[2] for p in parsed if p[0] == IMA}:
+        some = [k for k, p in enumerate(parsed) if p[0] == IMA and p[2] == align]
+        blocks = [np.frombuffer(parsed[k][3], np.uint8) for k in some]
+        blocks = [b[: len(b) // align * align].reshape(-1, align) for b in blocks]
+        samples = ima_decode(np.concatenate(blocks))
+        for k, part in zip(some, np.split(samples, np.cumsum([len(b) for b in blocks])[:-1]), strict=True):
+            out[k] = part.ravel(), parsed[k][1]
+    return out
+
+
+def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, files) of runs of rows with about ``GROUP`` bytes."""
+    first, held, size = 0, [], 0
+    for k in range(batch.num_rows):
+        held.append(batch.column(column)[k].as_py())
+        size += len(held[-1])
+        if size >= GROUP:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
+
+
 def _store_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            texts = [t.as_py() for t in part.column(1)]
-            media = pa.array([wave(MULAW, _pad(t)) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), media], ["doc_id", "n_bytes", "media"])
+        for first, texts in _groups(batch, 1):
+            media = pa.array([encapsulate(_pad(t)) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(list(map(len, texts)), pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """The stored table (doc_id, n_bytes, media) of mu-law WAVE files, a text's padded bytes as its samples."""
+    """The stored table (doc_id, n_bytes, media) of WAVE files that hold each text's padded bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
     return staged(rows.mapInArrow(_store_batches, "doc_id long, n_bytes long, media binary"), "telephony")
 
 
-def _pcm_batches(rate: int):
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _pcm_batches(rate: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names, types = zip(*(c.split() for c in (STORED + ", pcm binary").split(", ")), strict=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                samples, source = decode(batch.column(1)[k].as_py())
-                pcm = wave(PCM, resample(samples, source, rate).astype("<i2").tobytes(), rate, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([pcm], pa.binary())], ["doc_id", "media"])
+            for first, files in _groups(batch, 2):
+                rows = []
+                for k, (media, (samples, source)) in enumerate(zip(files, decode_all(files), strict=True), first):
+                    payload = payload_of(media)
+                    pcm = wave(PCM, resample(samples, source, rate).astype("<i2").tobytes(), rate, 2)
+                    digests = len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()
+                    rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), *digests, pcm))
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
 
     return run
 
 
-def resampled(media: DataFrame, rate: int = 16_000) -> DataFrame:
-    """(doc_id, media): every stored file expanded and resampled, as 16-bit PCM WAVE."""
-    return media.select("doc_id", "media").mapInArrow(_pcm_batches(rate), "doc_id long, media binary")
+def resampled(media: DataFrame, rate: int = STORED_RATE) -> DataFrame:
+    """The stored table of digests of what is stored and of its payload, and ``pcm``: the file expanded, resampled, as 16-bit WAVE."""
+    return staged(media.mapInArrow(_pcm_batches(rate), STORED + ", pcm binary"), "pcm")
 
 
-DESCRIBED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [features(decode(cell.as_py())[0]) for cell in batch.column(batch.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], [*batch.schema.names[:-1], "feature"])
 
 
-def _describe_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, types = zip(*(c.split() for c in DESCRIBED.split(", ")), strict=True)
-    arrow = {"long": pa.int64(), "string": pa.string()}
-    for batch in batches:
-        rows = []
-        for doc_id, n, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            media = cell.as_py()
-            payload = parse_wave(media)[3]
-            samples, rate = decode(media)
-            rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), features(resample(samples, rate, 2 * rate))))
-        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, arrow[t]) for c, t in zip(columns, types, strict=True)], list(names))
-
-
-def describe(media: DataFrame) -> DataFrame:
-    """Digests of what is stored and of its payload, and features of the PCM resampled to twice the rate."""
-    return media.mapInArrow(_describe_batches, DESCRIBED)
+def describe(media: DataFrame, rate: int = STORED_RATE) -> DataFrame:
+    """Digests of what is stored and of its payload, and features of the resampled PCM that is stored beside it."""
+    return resampled(media, rate).mapInArrow(_feature_batches, STORED + ", feature string")

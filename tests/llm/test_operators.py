@@ -375,33 +375,84 @@ def test_ima_blocks():
     blocks[:, 2] %= 89
     got = telephony.ima_decode(blocks)
     for row, samples in zip(blocks, got, strict=True):
-        value, index = int(row[:2].view("<i2")[0]), int(row[2])
-        out = [value]
-        for code in (c for b in row[4:].tolist() for c in (b & 15, b >> 4)):
-            step = int(telephony.STEPS[index])
-            change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
-            value = max(-32768, min(32767, value - change if code & 8 else value + change))
-            index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
-            out.append(value)
-        assert samples.tolist() == out
-
-
-def test_stored_audio(docs, rows):
+        assert samples.tolist() == slow_ima(row)
+
+
+def slow_ima(block):
+    value, index = int(block[:2].view("<i2")[0]), int(block[2])
+    out = [value]
+    for code in (c for b in block[4:].tolist() for c in (b & 15, b >> 4)):
+        step = int(telephony.STEPS[index])
+        change = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+        value = max(-32768, min(32767, value - change if code & 8 else value + change))
+        index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+        out.append(value)
+    return out
+
+
+def slow_resample(x, source, target):
+    from fractions import Fraction
+    from math import floor
+
+    out = []
+    for k in range(len(x) * target // source):
+        if target >= source:
+            at = Fraction(k * source, target)
+            left = floor(at)
+            out.append(floor(x[left] * (1 - (at - left)) + x[min(left + 1, len(x) - 1)] * (at - left)))
+        else:
+            a, b = Fraction(k * source, target), Fraction((k + 1) * source, target)
+            held = sum(x[i] * (min(b, i + 1) - max(a, i)) for i in range(floor(a), min(len(x), floor(b) + 1)))
+            out.append(floor(held / (b - a)))
+    return out
+
+
+@pytest.mark.parametrize(("source", "target"), [(8000, 4000), (8000, 16_000), (8000, 11_025), (8000, 8000), (8000, 3000), (5, 3)])
+def test_resample(source, target, monkeypatch):
+    r = random.Random(source + target)
+    for n in (0, 1, 2, 7, 64, 129):
+        x = [r.randint(-32768, 32767) for _ in range(n)]
+        for size in (1, 5, 1 << 16):
+            monkeypatch.setattr(telephony, "SLICE", size)
+            assert telephony.resample(np.array(x, np.int16), source, target).tolist() == slow_resample(x, source, target)
+
+
+def slow_features(x):
+    n = len(x)
+    changes = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+    return f"n={n};ms={sum(v * v for v in x) // n};mean={sum(x) // n};peak={max(map(abs, x))};zc={changes};crc={zlib.crc32(np.array(x, '<i2').tobytes())}"
+
+
+@pytest.mark.parametrize(("group", "piece"), [(1 << 20, 1 << 16), (100, 50)])
+def test_stored_audio(docs, rows, group, piece, monkeypatch):
+    monkeypatch.setattr(telephony, "GROUP", group)
+    monkeypatch.setattr(telephony, "SLICE", piece)
     text = {r[0]: raw(r[1]) for r in rows}
     media = telephony.store(docs)
     got = telephony.describe(media).collect()
     assert len(got) == len(rows)
-    same = defaultdict(set)
+    same, codecs = defaultdict(set), set()
     for x in got:
         t = text[x.doc_id]
         payload = t + b"\0" * (max(64, -(-len(t) // 64) * 64) - len(t))
+        codec = zlib.crc32(payload) % 3
+        codecs.add(codec)
         assert (x.n_bytes, x.payload_bytes) == (len(t), len(payload))
         assert x.payload_sha256 == hashlib.sha256(payload).hexdigest() and x.tail_crc32 == zlib.crc32(payload[-64:])
-        assert x.media_bytes == len(payload) + 58
+        assert x.media_bytes == (len(payload) + 58 if codec < 2 else len(payload) // 64 * 68 + 60)
         same[t].add((x.media_sha256, x.feature))
+        if len(payload) < 2000:
+            units = [np.frombuffer(b"\0" * 4 + payload[k : k + 64], np.uint8) for k in range(0, len(payload), 64)]
+            samples = [v for u in units for v in slow_ima(u)] if codec == 2 else [int((telephony.MULAW_PCM, telephony.ALAW_PCM)[codec][c]) for c in payload]
+            assert x.feature == slow_features(slow_resample(samples, 8000, 4000))
+    assert codecs == {0, 1, 2}
     assert all(len(s) == 1 for s in same.values())
-    pcm, rate = telephony.decode(telephony.resampled(media.where("doc_id = 6")).first().media)
-    assert rate == 16_000 and pcm[::2].tolist() == telephony.MULAW_PCM[np.frombuffer(b"one" + b"\0" * 61, np.uint8)].tolist()
+
+
+def test_pcm_of_another_rate(docs):
+    stored = telephony.resampled(telephony.store(docs.where("doc_id = 6")), 16_000).first()
+    pcm, rate = telephony.decode(stored.pcm)
+    assert rate == 16_000 and len(pcm) % 2 == 0 and stored.payload_bytes == 64
 
 
 # ------------------------------------------------------------------ personal data
