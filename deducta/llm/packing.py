@@ -1,19 +1,25 @@
 """Lexical retrieval packing: neighbours found by BM25 fill each seed document's window.
 
-``tokenize`` stores documents as shards of token ids with each shard's document frequencies; the
-frequencies of all shards give the BM25 weights; ``pack`` builds each shard's inverted index and
-fills windows greedily: a seed, then the unused documents that its terms retrieve, best first.
+``tokenize`` stores documents as chunks of token ids with each chunk's document frequencies; the
+frequencies of all chunks give the BM25 weights.  ``route`` brings lexically related documents together:
+they are ordered by three weighted min-hashes of their distinct ids, the weight of an id being the square of its
+BM25 inverse document frequency, so two documents stand next to one another with a probability that grows
+with the weighted share of ids that they have in common.  A shard is a run of about ``SHARD_TOKENS`` ids in
+that order.  ``pack`` builds each shard's inverted index and fills windows greedily: a seed, then the
+unused documents of the shard that its terms retrieve, best first.  Retrieval covers the shard, not the corpus;
+the order decides which of the corpus's neighbours a shard holds.
 
 * A document is its token ids and then the end id, so a null or empty text is the end id alone.
 * Windows of a long document that it fills alone are sequences of their own; its rest is packed.
 * A neighbour that fits whole is preferred, in order of score, ties by place in the shard; when none
-  of the best ``BEST`` fits, the best is cut, so that every window is full.  What is left at a shard's
+  of the best fits, the best is cut, so that every window is full.  What is left at a shard's
   end goes into sequences of power-of-two lengths.  No sequence is padded.
 * Repeated rows are packed each; a null doc_id keeps its row; other columns are not read.
 * An empty table gives no piece.
 
-Scale: nothing is shuffled but the frequencies, pre-aggregated, at most one row for each id of the
-vocabulary and task.  A shard is a run of rows of about ``SHARD_TOKENS`` ids, or one longer document.
+Scale: the ids are shuffled once, 16 bits each, into ranges of min-hashes and, where a min-hash is that of many
+documents (copies), of places, so no task gets a hot group whole.  Of the frequencies, a task sends at most one
+row for each id of the vocabulary.
 """
 
 from __future__ import annotations
@@ -36,7 +42,10 @@ END = 1
 SHARD_TOKENS = 1 << 20
 BEST = 64
 K1, B = 1.2, 0.75
-SHARDS = "shard long, doc_ids array<long>, sizes binary, ids binary, terms binary, found binary"
+SHARDS_A_TASK = 4
+MOST_TASKS = 1 << 16
+CHUNKS = "chunk long, doc_ids array<long>, sizes binary, ids binary, terms binary, found binary"
+ROUTED = "key long, place long, doc_id long, ids binary"
 
 _PLAIN = re.compile("[a-zà-öø-ÿœ]+")
 #: A stop or comma after anything but a Latin letter, a digit or white space: there a run of signs goes on.
@@ -78,13 +87,15 @@ class WordTokenizer(dict):
             if bytes([b]) not in ranks:
                 ranks[bytes([b])] = len(ranks)
                 self.pieces.append(b"")
-        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        # not part of tiktoken's interface: where it is missing, every word goes through the tokenizer itself
+        core = getattr(tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={}), "_core_bpe", None)
+        self.merge = getattr(core, "encode_single_piece", None)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha() or _PLAIN.fullmatch(word.decode()):
+        if self.merge and (word.isalpha() or _PLAIN.fullmatch(word.decode())):
             pieces = self.pieces
             out = b"".join([pieces[r] for r in self.merge(word + _END)])
         else:
@@ -124,13 +135,19 @@ def _frequencies(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys >> 32, keys & 0xFFFFFFFF, counts
 
 
-def _shard_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = [c.split()[0] for c in SHARDS.split(", ")]
+def _number(n: int, bits: int) -> int:
+    if n >> bits:
+        raise OverflowError(f"{n} does not fit in {bits} bits")
+    return n
+
+
+def _chunk_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _tokenizer(path)
         task = TaskContext.get()
-        number = (task.partitionId() if task else 0) << 32
+        number = _number(task.partitionId() if task else 0, 22) << 20
         held: list[tuple[int | None, bytes]] = []
         total = 0
 
@@ -139,7 +156,7 @@ def _shard_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
             raw = b"".join(x for _, x in held)
             term = _frequencies(np.frombuffer(raw, "<u2"), sizes)[0]
             terms, found = np.unique(term, return_counts=True)
-            values = [number, [i for i, _ in held], sizes.tobytes(), raw, terms.astype(np.int32).tobytes(), found.astype(np.int32).tobytes()]
+            values = [_number(number, 42), [i for i, _ in held], sizes.tobytes(), raw, terms.astype(np.int32).tobytes(), found.astype(np.int32).tobytes()]
             types = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
@@ -161,8 +178,8 @@ def _shard_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def tokenize(docs: DataFrame, path: str) -> DataFrame:
-    """The stored shards of token ids."""
-    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(_shard_batches(path), SHARDS), "tokens")
+    """The stored chunks of token ids."""
+    return staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(_chunk_batches(path), CHUNKS), "tokens")
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +194,56 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
 
-def statistics(shards: DataFrame) -> tuple[np.ndarray, int, int]:
-    """(documents that hold each id, documents, ids) over all shards."""
-    counts = shards.select("shard", "sizes", "terms", "found").mapInArrow(_count_batches, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+def statistics(chunks: DataFrame) -> tuple[np.ndarray, int, int]:
+    """(documents that hold each id, documents, ids) over all chunks."""
+    counts = chunks.select("chunk", "sizes", "terms", "found").mapInArrow(_count_batches, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     total = np.zeros((1 << 16) + 2, np.int64)
     for r in counts.collect():  # at most one row for each id of the vocabulary
         total[r.term] = r.n
     return total[:-2], int(total[-2]), int(total[-1])
 
 
+def _idf(frequency: np.ndarray, documents: int) -> np.ndarray:
+    return np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
+
+
+def min_hash_ranks(frequency: np.ndarray, documents: int) -> list[np.ndarray]:
+    """For each of three min-hashes, the rank of every id: the smallest of a document is its hash.
+
+    Exponential variates at the rate of an id's weight: it is the smallest of a set with a probability in
+    proportion to its weight, and two sets with the same variates agree as their weights overlap.
+    """
+    r = np.random.default_rng(5)
+    weight = np.maximum(_idf(frequency, documents), 1e-9) ** 2
+    return [np.argsort(np.argsort(r.exponential(size=len(weight)) / weight)).astype(np.uint16) for _ in range(3)]
+
+
+def _route_batches(ranks: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = [c.split()[0] for c in ROUTED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                chunk, doc_ids, raw = batch.column(0)[r].as_py(), batch.column(1)[r].values, batch.column(3)[r].as_buffer()
+                sizes = np.frombuffer(batch.column(2)[r].as_py(), np.int64)
+                ids, ends = np.frombuffer(raw, "<u2"), np.cumsum(sizes)
+                key = np.zeros(len(sizes), np.int64)
+                for rank in ranks:
+                    key = key << 16 | np.minimum.reduceat(rank[ids], ends - sizes)
+                offsets = np.concatenate([[0], 2 * ends]).astype(np.int32)
+                rows = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), raw])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(chunk << 21 | np.arange(len(sizes))), doc_ids, rows], names)
+
+    return run
+
+
+def route(chunks: DataFrame, frequency: np.ndarray, documents: int, ids: int) -> DataFrame:
+    """(key, place, doc_id, ids) of every document, in the order of the min-hashes inside and across partitions."""
+    rows = chunks.select("chunk", "doc_ids", "sizes", "ids").mapInArrow(_route_batches(min_hash_ranks(frequency, documents)), ROUTED)
+    n = min(MOST_TASKS, 1 + ids // (SHARDS_A_TASK * SHARD_TOKENS))
+    return rows.repartitionByRange(n, "key", "place").sortWithinPartitions("key", "place")
+
+
 class Index:
     """A shard's inverted index, with the BM25 weight of every posting."""
 
@@ -193,7 +251,7 @@ class Index:
         term, self.doc, count = _frequencies(ids, sizes)
         self.terms, begin = np.unique(term, return_index=True)
         self.begin = np.append(begin, len(term))
-        idf = np.log1p((documents - frequency + 0.5) / (frequency + 0.5))
+        idf = _idf(frequency, documents)
         norm = K1 * (1 - B + B * sizes / mean)
         self.weight = idf[term] * count * (K1 + 1) / (count + norm[self.doc])
         order = np.argsort(self.doc, kind="stable")
@@ -224,6 +282,7 @@ def fill(index: Index, sizes: np.ndarray, window: int = WINDOW) -> list[list[tup
     out = [[(d, s, window)] for d in np.flatnonzero(done).tolist() for s in range(0, int(done[d]), window)]
     start, left = done.tolist(), (sizes - done).tolist()
     unused = np.array(left) > 0
+    mean = max(1.0, float(sizes.mean())) if len(sizes) else 1.0
     row: list[tuple[int, int, int]] = []
     for seed in range(len(left)):
         while unused[seed]:
@@ -231,7 +290,8 @@ def fill(index: Index, sizes: np.ndarray, window: int = WINDOW) -> list[list[tup
             unused[seed] = False
             scores = np.where(unused, index.scores(seed), -1.0) if room else None
             while room:
-                best = np.argpartition(-scores, min(BEST, len(scores)) - 1)[:BEST]
+                many = min(max(BEST, int(room / mean)), len(scores))
+                best = np.argpartition(-scores, many - 1)[:many]
                 best = best[np.lexsort((best, -scores[best]))]
                 best = [d for d in best.tolist() if unused[d]]
                 if not best:
@@ -280,29 +340,42 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def _pack_batches(frequency: np.ndarray, documents: int, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [c.split()[0] for c in PIECES.split(", ")]
 
+    def packed(shard: int, doc_ids: list[int | None], held: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(x) // 2 for x in held], np.int64)
+        ids = np.frombuffer(b"".join(held), "<u2")
+        first = np.cumsum(sizes) - sizes
+        rows = []
+        for k, sequence in enumerate(fill(Index(ids, sizes, frequency, documents, mean), sizes)):
+            offset = 0
+            for d, s, n in sequence:
+                at = int(first[d]) + s
+                rows.append((doc_ids[d], s, n, zlib.crc32(ids[at : at + n].astype("<u4").tobytes()), int(sizes[d]), shard << 21 | _number(k, 21), offset))
+                offset += n
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        shard = _number(task.partitionId() if task else 0, 17) << 25
+        doc_ids: list[int | None] = []
+        held: list[bytes] = []
+        total = 0
         for batch in batches:
-            for r in range(batch.num_rows):
-                shard, doc_ids = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
-                sizes = np.frombuffer(batch.column(2)[r].as_py(), np.int64)
-                ids = np.frombuffer(batch.column(3)[r].as_py(), "<u2")
-                first = np.cumsum(sizes) - sizes
-                wide = ids.astype("<u4").tobytes()
-                rows = []
-                for k, sequence in enumerate(fill(Index(ids, sizes, frequency, documents, mean), sizes)):
-                    offset = 0
-                    for d, s, n in sequence:
-                        at = int(first[d]) + s
-                        rows.append((doc_ids[d], s, n, zlib.crc32(wide[4 * at : 4 * (at + n)]), int(sizes[d]), shard << 20 | k, offset))
-                        offset += n
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                doc_ids.append(doc_id)
+                held.append(ids.as_py())
+                total += len(held[-1]) // 2
+                if total >= SHARD_TOKENS:
+                    yield packed(_number(shard, 42), doc_ids, held)
+                    doc_ids, held, total, shard = [], [], 0, shard + 1
+        if held:
+            yield packed(_number(shard, 42), doc_ids, held)
 
     return run
 
 
 def pack(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece."""
-    shards = tokenize(docs, path)
-    frequency, documents, ids = statistics(shards)
-    mean = ids / max(documents, 1)
-    return shards.select("shard", "doc_ids", "sizes", "ids").mapInArrow(_pack_batches(frequency, documents, max(mean, 1.0)), PIECES)
+    chunks = tokenize(docs, path)
+    frequency, documents, ids = statistics(chunks)
+    mean = max(ids / max(documents, 1), 1.0)
+    return route(chunks, frequency, documents, ids).select("doc_id", "ids").mapInArrow(_pack_batches(frequency, documents, mean), PIECES)

@@ -315,13 +315,90 @@ def test_plain_words_are_exact():
     assert all(np.frombuffer(tokenizer[w.encode()], "<u2").tolist() == e.ids for w, e in zip(words, expected, strict=True))
 
 
-def test_neighbours_share_words():
-    ids = np.array([5, 6, 7, 1, 8, 9, 1, 5, 6, 7, 9, 1, 2, 3, 1], "<u2")
-    sizes = np.array([4, 3, 5, 3])
-    frequency = np.bincount(packing._frequencies(ids, sizes)[0], minlength=10)
-    index = packing.Index(ids, sizes, frequency, 4, 4.0)
-    assert index.scores(0)[[1, 2, 3]].argmax() == 1
-    assert packing.fill(index, sizes, 8)[0][:2] == [(0, 0, 4), (3, 0, 3)] or packing.fill(index, sizes, 9)[0] == [(0, 0, 4), (2, 0, 5)]
+def brute_scores(documents, k, frequency, total, mean):
+    from math import log1p
+
+    out = []
+    for d in documents:
+        score = 0.0
+        for t in set(documents[k]):
+            n = d.count(t)
+            idf = log1p((total - frequency[t] + 0.5) / (frequency[t] + 0.5))
+            score += idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(d) / mean))
+        out.append(score)
+    return out
+
+
+def brute_fill(documents, frequency, total, mean, window):
+    """Sequences by the definition, a neighbour at a time, from the best down."""
+    start = [len(d) // window * window for d in documents]
+    out = [[(k, s, window)] for k, d in enumerate(documents) for s in range(0, start[k], window)]
+    left = [len(d) - s for d, s in zip(documents, start, strict=True)]
+    rest = []
+    for seed in range(len(documents)):
+        while left[seed] and not rest:
+            row, room = [(seed, start[seed], left[seed])], window - left[seed]
+            left[seed] = 0
+            order = sorted((k for k in range(len(documents)) if left[k]), key=lambda k, s=brute_scores(documents, seed, frequency, total, mean): (-round(s[k], 9), k))
+            for k in order:
+                if 0 < left[k] <= room:
+                    row.append((k, start[k], left[k]))
+                    room, left[k] = room - left[k], 0
+            again = [k for k in order if left[k]]
+            if room and again:
+                k = again[0]
+                row.append((k, start[k], room))
+                start[k], left[k], room = start[k] + room, left[k] - room, 0
+            if room:
+                rest = row
+            else:
+                out.append(row)
+    return out, rest
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_neighbours_by_definition(seed):
+    r = random.Random(seed)
+    documents = [[r.randint(5, 30) for _ in range(r.choice([0, 2, 5, 9, 40]))] + [1] for _ in range(r.choice([1, 8, 50]))]
+    ids, sizes = np.array([t for d in documents for t in d], "<u2"), np.array([len(d) for d in documents])
+    frequency = np.bincount(packing._frequencies(ids, sizes)[0], minlength=1 << 16)
+    mean = float(sizes.mean())
+    index = packing.Index(ids, sizes, frequency, len(documents), mean)
+    for k in range(len(documents)):
+        assert np.allclose(index.scores(k), brute_scores(documents, k, frequency, len(documents), mean))
+    found = packing.fill(index, sizes, 16)
+    want, rest = brute_fill(documents, frequency, len(documents), mean, 16)
+    assert found[: len(want)] == want and found[len(want) :] == packing._powers(rest)
+
+
+def test_related_documents_are_routed_together(spark):
+    r = random.Random(4)
+    topics = [[f"{c}word{k}" for k in range(40)] for c in "abcdefgh"]
+    rows = [(k, " ".join(r.choice(topics[k % 8]) for _ in range(60))) for k in range(400)]
+    chunks = packing.tokenize(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tokenizer_file())
+    frequency, documents, ids = packing.statistics(chunks)
+    order = [x.doc_id % 8 for x in packing.route(chunks, frequency, documents, ids).collect()]
+    assert len(order) == 400 and sum(a == b for a, b in zip(order, order[1:], strict=False)) > 200
+
+
+def test_numbers_of_many_partitions(monkeypatch):
+    class Task:
+        @staticmethod
+        def get():
+            return Task()
+
+        def partitionId(self):  # noqa: N802
+            return 50_000
+
+    monkeypatch.setattr(packing, "TaskContext", Task)
+    ids = pa.array([np.array([7, 8, 1], "<u2").tobytes()] * 3, pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, None], pa.int64()), ids], ["doc_id", "ids"])
+    out = pa.Table.from_batches(packing._pack_batches(np.ones(1 << 16), 3, 3.0)(iter([batch]))).to_pylist()
+    assert sum(x["length"] for x in out) == 9 and {x["sequence_id"] >> 46 for x in out} == {50_000}
+    texts = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([b"x"], pa.binary())], ["doc_id", "text"])
+    assert next(packing._chunk_batches(tokenizer_file())(iter([texts]))).column(0)[0].as_py() == 50_000 << 20
+    with pytest.raises(OverflowError):
+        packing._number(1 << 22, 22)
 
 
 # ------------------------------------------------------------------ WARC
