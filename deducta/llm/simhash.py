@@ -475,7 +475,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, component_id, component_text) for every document.
 
     Texts are linked where the Jaccard similarity of their sets of five-word shingles is at least 0.8;
-    a group is named by its smallest (doc_id, text hash).  No such pair is missed: under one order of all
+    a group is named by its smallest (doc_id, text hash), a null doc_id after all others.  No such pair is missed: under one order of all
     shingles, the first fifth of each set, and one more, have an element in common.  Common shingles
     come last in that order, which only saves work.  Texts that share such an element are first compared
     with one or a few of those that have it; what is then still apart is compared in pairs.  Sketches leave
@@ -501,8 +501,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     more = checkpoint(_alike(second, sketches, texts))
     of = components(found.unionByName(more)) if more.take(1) else of
 
-    least = names.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    least = least.join(of, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("c"))
-    heads = least.groupBy("c").agg(F.min(F.struct("doc_id", "node")).alias("head"))
-    heads = least.join(heads, "c").select("node", "head")
-    return names.join(heads, "node", "left").select("doc_id", F.col("node").alias("text_hash"), F.col("head.doc_id").alias("component_id"), F.col("head.node").alias("component_text"))
+    last = (1 << 63) - 1  # a null doc_id comes after all others
+    least = names.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    least = checkpoint(least.join(of, "node", "left").select("node", "doc_id", "n", F.coalesce("component", "node").alias("c")))
+    heads = least.groupBy("c").agg(F.min(F.struct("doc_id", "node")).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = join_counted(least.select("node", "c", F.col("n").alias("rows")), heads, "c").select("node", F.col("rows").alias("n"), "head")
+    found = join_counted(names, heads, "node")
+    return found.select("doc_id", F.col("node").alias("text_hash"), F.nullif("head.doc_id", F.lit(last)).alias("component_id"), F.col("head.node").alias("component_text"))

@@ -40,6 +40,32 @@ def test_stages_take_effect(spark, tmp_path):
     assert {x.doc_id for x in packed.select("doc_id").collect()} == set(ids[3])
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_texts_under_one_id_are_different_documents(spark):
+    r = random.Random(3)
+    text = lambda n: " ".join(f"w{r.randint(0, 5000)}" for _ in range(n))
+    a, b, c, d = (text(60) for _ in range(4))
+    rows = [(1, a), (1, b), (2, c), (1, b), (None, d), (None, d), (3, d), (None, a + " x"), (7, None), (8, ""), (None, None), (None, "only here"), (None, "only here")]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 2}", k) for k, (i, t) in enumerate(rows)], SCHEMA)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((x.doc_id, x.text or "") for x in got.collect()), key=str) == sorted([(1, a), (1, b), (2, c), (3, d), (7, ""), (None, "only here")], key=str)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    none = spark.createDataFrame([], SCHEMA)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    some = spark.createDataFrame([(k, f"some words of text {k}", "en", "s", 5, 1, "h", "k", 2, "f") for k in range(20)], SCHEMA + ", n long, text_hash string, key string, component_id long, fp string")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        out = stage(spark, some, str(tmp_path))
+        assert out.select("doc_id").distinct().count() == 20
+        assert k == 4 or out.columns == list(corpus_pipeline.COLUMNS)
+
+
 def test_run_returns_pieces(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "sequence_id" in out.columns
