@@ -662,14 +662,64 @@ def test_no_labels(spark, docs, rows):
     assert {r.predicted for r in toxicity.score(docs, model).collect()} == {0}
 
 
-def test_nonnegative_risk_gradient():
+def slow_risk(x, marks, prior, w, b):
+    """The risk by its definition: confirmed documents are also unlabelled ones."""
+    from math import exp, log1p
+
+    z = [sum(w[k] * v for k, v in row.items()) + b for row in x]
+    positive = [t for t, m in zip(z, marks, strict=True) if m]
+    mean = lambda f, t: sum(map(f, t)) / len(t)
+    negative = mean(lambda t: log1p(exp(t)), z) - prior * mean(lambda t: log1p(exp(t)), positive)
+    return prior * mean(lambda t: log1p(exp(-t)), positive) + max(0.0, negative) + toxicity.DECAY / 2 * sum(v * v for v in w)
+
+
+def test_nonnegative_risk():
+    r = random.Random(2)
+    for turn in range(20):
+        x = [{k: r.random() for k in r.sample(range(6), r.randint(0, 4))} for _ in range(30)]
+        marks = np.array([k % 4 == 0 for k in range(30)])
+        at = np.array([r.uniform(-1, 1) * (1 + turn) for _ in range(7)])
+        sizes, columns, values = np.array([len(d) for d in x]), np.array([k for d in x for k in d], int), np.array([v for d in x for v in d.values()])
+        total = np.append(np.bincount(columns[np.repeat(marks, sizes)], values[np.repeat(marks, sizes)], minlength=6), marks.sum())
+
+        def risk(v, sizes=sizes, columns=columns, values=values, marks=marks, total=total):
+            return toxicity.nonnegative_risk(toxicity.sums_of(sizes, columns, values, marks, v[:-1], v[-1]), total, int(marks.sum()), 30, 0.2, v[:-1], float(v[-1]))
+
+        value, gradient = risk(at)
+        assert np.isclose(value, slow_risk(x, marks, 0.2, at[:-1], at[-1]))
+        step = 1e-5 * np.eye(7)
+        assert np.allclose(gradient, [(risk(at + e)[0] - risk(at - e)[0]) / 2e-5 for e in step], atol=1e-4)
+        assert risk(toxicity.minimise(risk, at))[0] < value
+
+
+def test_minimise():
+    a = np.diag([1.0, 10, 100])
+    x = toxicity.minimise(lambda v: (1 + float((v - 1) @ a @ (v - 1)), 2 * a @ (v - 1)), np.zeros(3))
+    assert np.allclose(x, 1, atol=0.05)
+
+
+def test_fit_is_that_of_all_rows_however_split(spark):
+    rows, marks = labelled(400)
+    docs = spark.createDataFrame([*rows, *rows[:50], (None, "vilely x", "x")], "doc_id long, text string, k string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    one, many = (toxicity.fit(docs.repartition(n), labels) for n in (1, 7))
+    assert one.numbers == many.numbers and one.bias == many.bias and (one.weights == many.weights).all()
+    kept = [(i, t) for i, t, _ in [*rows, *rows[:50], (None, "vilely x", "x")] if i is None or zlib.crc32(str(i).encode()) % 4 != 2]
+    toxic = {i for i, _, t in marks if t}
+    x, y = [one.values(t.encode()) for _, t in kept], np.array([i in toxic for i, _ in kept])
+    seen = [t for i, _, t in marks if t is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    prior = sum(seen) / len(seen)
+    best = slow_risk(x, y, prior, one.weights, one.bias)
+    assert best < slow_risk(x, y, prior, np.zeros(len(one.weights)), np.log(prior / (1 - prior))) / 3
     r = np.random.default_rng(0)
-    positive = np.arange(400) < 100
-    toxic = positive | (r.random(400) < 0.2)
-    x = np.where(toxic, 1, 0)
-    at = np.flatnonzero(x)
-    w, b = toxicity.nonnegative_pu(at, np.zeros(len(at), int), np.ones(len(at)), positive, 1, 0.25)
-    assert b < 0 < w[0] + b
+    near = [slow_risk(x, y, prior, one.weights + d[:-1], one.bias + d[-1]) for d in r.normal(0, 0.05, (20, len(one.weights) + 1))]
+    assert min(near) > best - 0.01  # where the corrected part meets zero, the steps end a little early
+
+
+def test_toxicity_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, x string")
+    model = toxicity.fit(none, spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(none, model).count() == 0 and model.values(b"any") == {}
 
 
 def test_pseudo_likelihood(spark, docs, rows):
