@@ -1,18 +1,24 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
-Each word, masked, is predicted from the ``SIDE`` words on both sides of it.  Words are hashed to
-``CLASSES`` classes; a class is predicted in two steps of ``HALF`` choices, so that a word costs
-2 * HALF outputs.  A document's score is the sum of the conditional log-probabilities of its words.
-
-* A null or empty text has no words: score 0, mean null.  Words are those of decontamination.
-* Beyond a document's ends stands a class of its own.  Repeated rows train and score each.
+Each token, masked, is predicted from the ``SIDE`` tokens on both sides of it.  Tokens are the ids of a public
+tokenizer.  What surrounds a token is read through ``CLASSES`` hashed classes; the token itself is predicted
+exactly, as three digits to the base ``BASE``, each given those before it, so that it costs 3 * BASE outputs and
+the probabilities of all tokens add up to one.  A document's score is the sum of the conditional
+log-probabilities of its tokens.
+
+* A null or empty text has no tokens: score 0, mean null.  Repeated rows train and score each.
+* Beyond a document's ends stands a class of its own.
 * A null doc_id keeps its row; other columns are not read.  An empty table gives no row.
+* A very long text is tokenized and scored whole, in some 20 bytes of memory for each of its own.
+
+Training starts from the tokens' counts in the whole corpus and is data-parallel over every document.  Documents are dealt by a hash of doc_id and text to shards of
+about ``SHARD_BYTES``, and ordered by it there, so the result does not depend on how the input is split.  In each of
+``ROUNDS`` rounds every shard starts from the same parameters and learns from one position in ``ROUNDS`` (another in
+each round, so that all rounds together learn from every position once); the mean of the shards' parameters, in fixed
+point and weighted by positions, starts the next round.
 
-Training is data-parallel over every document: in each of ``ROUNDS`` rounds every task starts from
-the same parameters, learns from one position in ``STRIDE`` (another in each round, so that all rounds
-together learn from every position once) and sends its parameters in fixed point; their mean, weighted
-by positions, starts the next round.  Sums of whole numbers make the result independent of the order of arrival.  Scale: what is shuffled is one parameter
-set a task, summed by parameter; the driver gets one set.
+Scale: the ids are shuffled and stored once, 16 bits each, and read for each round and for the scores.  A task adds
+up its shards and sends one parameter set; the driver gets one set.
 """
 
 from __future__ import annotations
@@ -26,44 +32,50 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
-from .decontaminate import words_of
+from .common import staged, utf8
+from .packing import _tokenizer
 
-HALF = 32
-CLASSES = HALF * HALF  # class 0 stands beyond a document's ends
+BASE = 37  # its cube is over the ids of the vocabulary
+CLASSES = 1024  # class 0 stands beyond a document's ends
 SIDE = 2
 HIDDEN = 16
 ROUNDS = 2
-STRIDE = ROUNDS  # every position in one of the rounds
 BATCH = 2048
 RATE = 0.1
+SHARD_BYTES = 1 << 23
+MOST_TASKS = 1 << 16
 _FIXED = 1 << 24
 _SHIFTS = tuple(j for j in range(-SIDE, SIDE + 1) if j)
+SHARDS = "shard long, doc_ids array<long>, starts binary, sizes binary, ids binary"
 
 
 @dataclass
 class Network:
-    """Context tables by place, hidden bias, and the two output steps."""
+    """Context tables by place, hidden bias, and for each digit its weights and its biases by the digits before."""
 
     tables: np.ndarray  # places x CLASSES x HIDDEN
     bias: np.ndarray
-    high: np.ndarray  # HIDDEN x HALF
-    high_bias: np.ndarray
-    low: np.ndarray  # HIDDEN x HALF
-    low_bias: np.ndarray  # HALF (the first step) x HALF
+    weights: np.ndarray  # 3 x HIDDEN x BASE
+    first: np.ndarray  # BASE
+    second: np.ndarray  # BASE x BASE
+    third: np.ndarray  # BASE^2 x BASE
 
     @classmethod
     def new(cls, seed: int = 11) -> Network:
         r = np.random.default_rng(seed)
         small = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
-        return cls(small(len(_SHIFTS), CLASSES, HIDDEN), small(HIDDEN), small(HIDDEN, HALF), np.zeros(HALF, np.float32), small(HIDDEN, HALF), np.zeros((HALF, HALF), np.float32))
+        zero = lambda *shape: np.zeros(shape, np.float32)
+        return cls(small(len(_SHIFTS), CLASSES, HIDDEN), small(HIDDEN), small(3, HIDDEN, BASE), zero(BASE), zero(BASE, BASE), zero(BASE * BASE, BASE))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.tables, self.bias, self.high, self.high_bias, self.low, self.low_bias]
+        return [self.tables, self.bias, self.weights, self.first, self.second, self.third]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts()])
 
+    def copy(self) -> Network:
+        return Network(*(x.copy() for x in self.parts()))
+
     @classmethod
     def of(cls, flat: np.ndarray) -> Network:
         out, at = [], 0
@@ -76,17 +88,24 @@ class Network:
         x = self.tables[0][context[0]]
         for k in range(1, len(context)):
             x += self.tables[k][context[k]]
-        return np.tanh(x + self.bias)
-
-    def log_probability(self, words: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
-        h = self.hidden(context)
-        first, second = words // HALF, words % HALF
-        rows = np.arange(len(words))
-        out = np.zeros(len(words), np.float32)
-        for z, pick in ((h @ self.high + self.high_bias, first), (h @ self.low + self.low_bias[first], second)):
+        x += self.bias
+        return np.tanh(x, out=x)
+
+    def steps(self, h: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The exponentials of each digit's outputs, less the largest, and the true digit."""
+        high, low = np.divmod(tokens, BASE)
+        for k, (bias, digit) in enumerate(((self.first, high // BASE), (self.second[high // BASE], high % BASE), (self.third[high], low))):
+            z = h @ self.weights[k]
+            z += bias
             z -= z.max(axis=1, keepdims=True)
-            out += z[rows, pick] - np.log(np.exp(z).sum(axis=1))
-        return out
+            yield np.exp(z, out=z), digit
+
+    def log_probability(self, tokens: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
+        rows = np.arange(len(tokens))
+        ratio = np.ones(len(tokens))  # of three numbers between 1e-38 and 1: no underflow in double precision
+        for z, digit in self.steps(self.hidden(context), tokens):
+            ratio *= np.maximum(z[rows, digit], np.float32(1e-38)) / z.sum(axis=1)
+        return np.log(ratio)
 
 
 class Learner:
@@ -96,130 +115,220 @@ class Learner:
         self.net = network
         self.square = [np.full(x.shape, 1e-2, np.float32) for x in network.parts()]
 
-    def _move(self, k: int, gradient: np.ndarray) -> None:
-        self.square[k] += gradient * gradient
-        self.net.parts()[k][...] -= RATE * gradient / np.sqrt(self.square[k])
+    def _move(self, k: int, gradient: np.ndarray, at: object = slice(None)) -> None:
+        part, square = self.net.parts()[k], self.square[k]
+        square[at] += gradient * gradient
+        part[at] -= RATE * gradient / np.sqrt(square[at])
 
-    def learn(self, words: np.ndarray, context: list[np.ndarray]) -> None:
-        net, n = self.net, len(words)
-        h = net.hidden(context)
-        first, second = words // HALF, words % HALF
-        rows = np.arange(n)
+    def _scatter(self, k: int, at: np.ndarray, d: np.ndarray, before: tuple = ()) -> None:
+        """Add up the rows of ``d`` by the row of the part that they belong to."""
+        order = np.argsort(at, kind="stable")
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
+        self._move(k, np.add.reduceat(d[order], begin, axis=0), (*before, at[order[begin]]))
 
-        def step(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
-            z = np.exp(z - z.max(axis=1, keepdims=True))
+    def learn(self, tokens: np.ndarray, context: list[np.ndarray]) -> None:
+        net, n = self.net, len(tokens)
+        h = net.hidden(context)
+        rows, high = np.arange(n), tokens // BASE
+        d = []
+        for z, digit in net.steps(h, tokens):
             z /= z.sum(axis=1, keepdims=True)
-            z[rows, pick] -= 1
-            return z / np.float32(n)
-
-        d_high, d_low = step(h @ net.high + net.high_bias, first), step(h @ net.low + net.low_bias[first], second)
-        d = (d_high @ net.high.T + d_low @ net.low.T) * (1 - h * h)
-        by_first = np.zeros((HALF, n), np.float32)
-        by_first[first, rows] = 1
-        self._move(2, h.T @ d_high)
-        self._move(3, d_high.sum(axis=0))
-        self._move(4, h.T @ d_low)
-        self._move(5, by_first @ d_low)
-        self._move(1, d.sum(axis=0))
+            z[rows, digit] -= 1
+            z /= np.float32(n)
+            d.append(z)
+        back = sum(x @ w.T for x, w in zip(d, net.weights, strict=True)) * (1 - h * h)
+        by_first = np.zeros((BASE, n), np.float32)
+        by_first[high // BASE, rows] = 1
+        self._move(2, np.stack([h.T @ x for x in d]))
+        self._move(3, d[0].sum(axis=0))
+        self._move(4, by_first @ d[1])
+        self._scatter(5, high, d[2])
+        self._move(1, back.sum(axis=0))
         for k, c in enumerate(context):
-            order = np.argsort(c, kind="stable")
-            begin = np.flatnonzero(np.concatenate([[True], np.diff(c[order]) > 0]))
-            at = c[order[begin]]
-            g = np.add.reduceat(d[order], begin, axis=0)
-            self.square[0][k, at] += g * g
-            net.tables[k, at] -= RATE * g / np.sqrt(self.square[0][k, at])
+            self._scatter(0, c, back, (k,))
 
 
-def classes_of(text: bytes) -> np.ndarray:
-    words = words_of(text)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).astype(np.uint64) % np.uint64(CLASSES - 1) + np.uint64(1)
+def classes_of(ids: np.ndarray) -> np.ndarray:
+    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(CLASSES - 1) + np.uint64(1)
 
 
-def _padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of the texts with the ends' class around each, the places of words, words a text."""
-    gap = np.zeros(SIDE, np.int64)
-    parts = [classes_of(t).astype(np.int64) for t in texts]
-    line = np.concatenate([gap, *(x for p in parts for x in (p, gap))])
-    counts = np.array([len(p) for p in parts], np.int64)
+def _padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of the documents' ids with the ends' class around each, and the places of the ids."""
     begin = SIDE + np.cumsum(counts + SIDE) - (counts + SIDE)
-    places = np.arange(counts.sum()) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
-    return line, places, counts
+    places = np.arange(len(ids)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+    line = np.zeros(len(ids) + SIDE * (len(counts) + 1), np.int16)
+    line[places] = classes_of(ids)
+    return line, places
+
+
+def _token_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's ids, and the hash of the text by which its positions are dealt to the rounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column(3).to_pylist()
+                ids = pa.array(tokenizer.ids(texts), pa.binary())
+                starts = pa.array([xxhash.xxh3_64_intdigest(t) % ROUNDS for t in texts], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], starts, ids], ["shard", "place", "doc_id", "start", "ids"])
+
+    return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _shard_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, as one row a shard."""
+    names = [c.split()[0] for c in SHARDS.split(", ")]
+    held: tuple[list, list, list] = ([], [], [])
+    before = None
+
+    def row() -> pa.RecordBatch:
+        sizes = np.array([len(x) // 2 for x in held[2]], np.int64)
+        values = [before, held[0], np.array(held[1], np.int8).tobytes(), sizes.tobytes(), b"".join(held[2])]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3), strict=True)], names)
+
+    for batch in batches:
+        for shard, *rest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+            if shard != before and held[0]:
+                yield row()
+                held = ([], [], [])
+            before = shard
+            for x, v in zip(held, (*rest[:2], rest[2].as_py()), strict=True):
+                x.append(v)
+    if held[0]:
+        yield row()
+
+
+def shards(docs: DataFrame, path: str) -> DataFrame:
+    """The stored shards of token ids: what each holds and in which order depends on the documents alone."""
+    size = docs.select(F.sum(F.octet_length(utf8("text")).cast("long"))).first()[0] or 0
+    n = 1 + size // SHARD_BYTES
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    rows = docs.select(F.pmod(key, F.lit(n)).alias("shard"), key.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
+    rows = rows.mapInArrow(_token_batches(path), "shard long, place long, doc_id long, start int, ids binary")
+    return staged(rows.repartition(min(n, MOST_TASKS), "shard").sortWithinPartitions("shard", "place").mapInArrow(_shard_batches, SHARDS), "token-shards")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.ListScalar, np.ndarray, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            yield part, part.column(column).to_pylist()
+        for r in range(batch.num_rows):
+            starts, sizes, ids = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in ((2, np.int8), (3, np.int64), (4, "<u2")))
+            yield batch.column(1)[r], starts, sizes, ids
+
+
+def _pieces(sizes: np.ndarray, most: int = 1 << 16) -> Iterator[slice]:
+    """Runs of documents with about so many ids."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + most)))
+        yield slice(at, end)
+        at = end
+
+
+def train_shard(network: Network, turn: int, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[Network, int]:
+    """The network after one position in ``ROUNDS`` of a shard, and how many those are."""
+    learner = Learner(network.copy())
+    held: list[np.ndarray] = []
+    waiting = seen = 0
+    ends = np.cumsum(sizes)
+    for part in _pieces(sizes):
+        count = sizes[part]
+        own = ids[ends[part.start] - count[0] : ends[part.stop - 1]]
+        line, places = _padded(own, count)
+        first = np.repeat(np.cumsum(count) - count, count)
+        chosen = np.flatnonzero((np.arange(len(own)) - first + np.repeat(starts[part], count) + turn) % ROUNDS == 0)
+        at = places[chosen]
+        held.append(np.stack([own[chosen].astype(np.int32), *(line[at + j].astype(np.int32) for j in _SHIFTS)]))
+        waiting += len(chosen)
+        if waiting < BATCH:
+            continue
+        rows = np.concatenate(held, axis=1)
+        for k in range(0, waiting - BATCH + 1, BATCH):
+            learner.learn(rows[0, k : k + BATCH], list(rows[1:, k : k + BATCH]))
+            seen += BATCH
+        held, waiting = [rows[:, waiting // BATCH * BATCH :]], waiting % BATCH
+    if waiting:
+        rows = np.concatenate(held, axis=1)
+        learner.learn(rows[0], list(rows[1:]))
+        seen += waiting
+    return learner.net, seen
 
 
 def _train_batches(network: Network, turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(Network(*(x.copy() for x in network.parts())))
-        held: list[np.ndarray] = []
-        waiting = seen = 0
-
-        def learn(least: int) -> None:
-            nonlocal held, waiting, seen
-            rows = np.concatenate(held, axis=1)
-            at = 0
-            while rows.shape[1] - at >= least and at < rows.shape[1]:
-                some = rows[:, at : at + BATCH]
-                learner.learn(some[0], list(some[1:]))
-                seen += some.shape[1]
-                at += BATCH
-            held, waiting = [rows[:, at:]], max(0, rows.shape[1] - at)
-
-        for _, texts in _runs(batches, 0):
-            line, places, counts = _padded(texts)
-            first = np.repeat(np.cumsum(counts) - counts, counts)
-            start = np.repeat([xxhash.xxh3_64_intdigest(t) % STRIDE for t in texts], counts).astype(np.int64)
-            chosen = places[(np.arange(len(places)) - first + start + turn * STRIDE // ROUNDS) % STRIDE == 0]
-            held.append(np.stack([line[chosen], *(line[chosen + j] for j in _SHIFTS)]))
-            waiting += len(chosen)
-            if waiting >= BATCH:
-                learn(BATCH)
-        if waiting:
-            learn(1)
-        if seen:
-            values = np.round(learner.net.flat().astype(np.float64) * _FIXED).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values) + 1), pa.int64()), pa.array(np.append(values * seen, seen))], ["k", "v"])
+        size = len(network.flat())
+        total = np.zeros(size + 1, np.int64)
+        for _, starts, sizes, ids in _unpacked(batches):
+            net, seen = train_shard(network, turn, starts, sizes, ids)
+            total += np.append(np.round(net.flat().astype(np.float64) * _FIXED).astype(np.int64) * seen, seen)
+        if total[-1]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size + 1)), pa.array(total)], ["k", "v"])
 
     return run
 
 
-def train(docs: DataFrame) -> Network:
-    """The network after all rounds over all documents; the first one if there are no words."""
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(BASE**3, np.int64)
+    for *_, ids in _unpacked(batches):
+        if len(ids) and ids.max() >= len(total):
+            raise ValueError(f"the vocabulary has more than {len(total)} ids")
+        total += np.bincount(ids, minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "v"])
+
+
+def start(stored: DataFrame) -> Network:
+    """The first network: without context, it gives every token its share of the whole corpus, one added to each count."""
+    counts = np.ones(BASE**3)
+    for r in stored.mapInArrow(_count_batches, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():  # one row an id
+        counts[r.k] += r.v
     network = Network.new()
-    texts = docs.select(utf8("text").alias("text"))
+    by = counts.reshape(BASE, BASE, BASE)
+    for part, n in ((network.first, by.sum(axis=(1, 2))), (network.second, by.sum(axis=2)), (network.third, counts.reshape(-1, BASE))):
+        part[...] = np.log(n / n.sum(axis=-1, keepdims=True))
+    return network
+
+
+def train(stored: DataFrame) -> Network:
+    """The network after all rounds over all stored shards; the first one if there are no tokens."""
+    network = start(stored)
     for turn in range(ROUNDS):
-        sums = texts.mapInArrow(_train_batches(network, turn), "k long, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
+        sums = stored.mapInArrow(_train_batches(network, turn), "k long, v long").groupBy("k").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
         found = {r.k: int(r.v) for r in sums.collect()}  # one row a parameter
         size = len(network.flat())
         if not found.get(size):
-            break
+            continue
         network = Network.of(np.array([found[k] / (found[size] * _FIXED) for k in range(size)]))
     return network
 
 
+def log_probabilities(network: Network, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of every id, given those around it in its document."""
+    line, places = _padded(ids, sizes)
+    out = np.zeros(len(ids))
+    for at in range(0, len(ids), 8192):
+        p = places[at : at + 8192]
+        out[at : at + len(p)] = network.log_probability(ids[at : at + 8192].astype(np.int32), [line[p + j] for j in _SHIFTS])
+    return out
+
+
 def _score_batches(network: Network) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _runs(batches, 1):
-            line, places, counts = _padded(texts)
-            logs = np.zeros(len(places) + 1)
-            for at in range(0, len(places), 8192):
-                p = places[at : at + 8192]
-                logs[at + 1 : at + 1 + len(p)] = network.log_probability(line[p], [line[p + j] for j in _SHIFTS])
-            ends = np.cumsum(counts)
-            total = np.cumsum(logs)
-            scores = total[ends] - total[ends - counts]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "n_words", "log_likelihood"])
+        for doc_ids, _, sizes, ids in _unpacked(batches):
+            ends = np.cumsum(sizes)
+            for part in _pieces(sizes):
+                count = sizes[part]
+                logs = log_probabilities(network, count, ids[ends[part.start] - count[0] : ends[part.stop - 1]])
+                begin = np.cumsum(count) - count
+                scores = [float(logs[a : a + n].sum()) for a, n in zip(begin.tolist(), count.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([doc_ids.values.slice(part.start, len(count)), pa.array(count), pa.array(scores, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
 
     return run
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """(doc_id, n_words, log_likelihood, mean_log_likelihood) for every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"))
-    scored = rows.mapInArrow(_score_batches(network), "doc_id long, n_words long, log_likelihood double")
-    return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_words"), F.lit(0)))
+def score(stored: DataFrame, network: Network) -> DataFrame:
+    """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) for every document of the stored shards."""
+    scored = stored.mapInArrow(_score_batches(network), "doc_id long, n_tokens long, log_likelihood double")
+    return scored.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("n_tokens"), F.lit(0)))

@@ -23,8 +23,8 @@ def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(docs, pseudo_likelihood.train(docs))
+    stored = pseudo_likelihood.shards(table(spark, sf_dir, "documents"), tokenizer_file())
+    return pseudo_likelihood.score(stored, pseudo_likelihood.train(stored))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -722,38 +722,114 @@ def test_toxicity_of_an_empty_table(spark):
     assert toxicity.score(none, model).count() == 0 and model.values(b"any") == {}
 
 
-def test_pseudo_likelihood(spark, docs, rows):
-    order = spark.createDataFrame([(k, "a b c d e f g h " * 60) for k in range(40)] + [(90, None), (None, "")], "doc_id long, text string")
-    net = pseudo_likelihood.train(order)
-    got = {r.doc_id: r for r in pseudo_likelihood.score(order, net).collect()}
-    assert got[90].n_words == got[None].n_words == 0 and got[90].log_likelihood == 0 and got[90].mean_log_likelihood is None
-    odd = spark.createDataFrame([(0, "h c a g e b d f " * 60)], "doc_id long, text string")
+def scores(df):
+    return sorted(((x.doc_id, x.n_tokens, x.log_likelihood, x.mean_log_likelihood) for x in df.collect()), key=str)
+
+
+def test_pseudo_likelihood(spark):
+    rows = [(k, "a b c d e f g h " * 60, "c") for k in range(40)] + [(90, None, "c"), (None, "", "c")]
+    stored = pseudo_likelihood.shards(spark.createDataFrame(rows, "doc_id long, text string, place string"), tokenizer_file())
+    net = pseudo_likelihood.train(stored)
+    got = {r.doc_id: r for r in pseudo_likelihood.score(stored, net).collect()}
+    assert got[90].n_tokens == got[None].n_tokens == 0 and got[90].log_likelihood == 0 and got[90].mean_log_likelihood is None
+    odd = pseudo_likelihood.shards(spark.createDataFrame([(0, "h c a g e b d f " * 60)], "doc_id long, text string"), tokenizer_file())
     assert got[0].mean_log_likelihood > pseudo_likelihood.score(odd, net).first().mean_log_likelihood + 0.1
-    texts = [raw("x a b c d e"), b"", raw("a")]
-    line, places, counts = pseudo_likelihood._padded(texts)
-    logs = net.log_probability(line[places], [line[places + j] for j in pseudo_likelihood._SHIFTS])
-    flat = pseudo_likelihood.classes_of(texts[0]).astype(int)
-    context = [np.array([0]), np.array([0]), flat[1:2], flat[2:3]]
-    assert np.isclose(logs[0], net.log_probability(flat[:1], context)[0]) and counts.tolist() == [6, 0, 1]
 
 
-def test_training_covers_every_position():
-    texts = [raw("a b c d e f g h " * 9), raw("x y z"), b"", raw("one"), raw("a b c d e f g h " * 9)]
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
-    net, words = pseudo_likelihood.Network.new(), sum(len(pseudo_likelihood.classes_of(t)) for t in texts)
-    seen = [next(pseudo_likelihood._train_batches(net, k)(iter([batch]))).column(1)[-1].as_py() for k in range(pseudo_likelihood.ROUNDS)]
-    assert sum(seen) == words and min(seen) > 0
+def test_scores_do_not_depend_on_the_split(docs, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "SHARD_BYTES", 10_000)
+    found = []
+    for n in (1, 5):
+        stored = pseudo_likelihood.shards(docs.repartition(n), tokenizer_file())
+        assert stored.count() > 2
+        found.append(scores(pseudo_likelihood.score(stored, pseudo_likelihood.train(stored))))
+    assert found[0] == found[1] and len(found[0]) == docs.count()
 
 
-def test_gradients():
+def random_network(seed=3):
     net = pseudo_likelihood.Network.new()
-    r = np.random.default_rng(1)
-    words, context = r.integers(1, 1024, 64), [r.integers(0, 1024, 64) for _ in range(4)]
-    before = net.log_probability(words, context).sum()
-    learner = pseudo_likelihood.Learner(net)
-    for _ in range(20):
-        learner.learn(words, context)
-    assert net.log_probability(words, context).sum() > before + 50
+    r = np.random.default_rng(seed)
+    for part in net.parts():
+        part[...] = r.normal(0, 0.3, part.shape)
+    return net
+
+
+def slow_log_probability(net, ids, at):
+    """Of the id at a place of one document, a digit at a time."""
+    base = pseudo_likelihood.BASE
+    around = [at + j for j in (-2, -1, 1, 2)]
+    seen = [int(pseudo_likelihood.classes_of(np.array([ids[k]]))[0]) if 0 <= k < len(ids) else 0 for k in around]
+    h = np.tanh(sum(net.tables[k, c].astype(float) for k, c in enumerate(seen)) + net.bias)
+    a, b, c = ids[at] // base**2, ids[at] // base % base, ids[at] % base
+    out = 0.0
+    for w, bias, digit in zip(net.weights, (net.first, net.second[a], net.third[a * base + b]), (a, b, c), strict=True):
+        z = np.exp(h @ w + bias)
+        out += np.log(z[digit] / z.sum())
+    return out
+
+
+def test_log_probabilities_by_definition():
+    net, r = random_network(), random.Random(1)
+    documents = [[r.randrange(49_000) for _ in range(n)] for n in (0, 1, 2, 3, 7, 40)]
+    ids, sizes = np.array([t for d in documents for t in d], "<u2"), np.array([len(d) for d in documents])
+    want = [slow_log_probability(net, d, k) for d in documents for k in range(len(d))]
+    assert np.allclose(pseudo_likelihood.log_probabilities(net, sizes, ids), want, atol=1e-4)
+
+
+def test_probabilities_of_all_tokens_add_up_to_one():
+    net = random_network()
+    tokens = np.arange(pseudo_likelihood.BASE**3)
+    logs = net.log_probability(tokens, [np.full(len(tokens), c) for c in (0, 5, 9, 700)])
+    assert np.isclose(np.exp(logs).sum(), 1, atol=1e-4)
+
+
+def test_start_is_the_share_in_the_corpus(spark):
+    stored = pseudo_likelihood.shards(spark.createDataFrame([(1, "alpha beta beta"), (2, "beta")], "doc_id long, text string"), tokenizer_file())
+    net = pseudo_likelihood.start(stored)
+    ids = np.concatenate([np.frombuffer(r.ids, "<u2") for r in stored.collect()])
+    counts = np.bincount(ids, minlength=pseudo_likelihood.BASE**3) + 1
+    net.weights[...] = 0
+    logs = net.log_probability(ids.astype(int), [np.zeros(len(ids), int)] * 4)
+    assert np.allclose(logs, np.log(counts[ids] / counts.sum()), atol=1e-4)
+
+
+def test_gradients():
+    net, r = random_network(), np.random.default_rng(1)
+    tokens, context = r.integers(0, 49_000, 16), [r.integers(0, 1024, 16) for _ in range(4)]
+    learner = pseudo_likelihood.Learner(net.copy())
+    learner.learn(tokens, context)
+    for k, (before, after) in enumerate(zip(net.parts(), learner.net.parts(), strict=True)):
+        moved = (before - after) / pseudo_likelihood.RATE  # g / sqrt(0.01 + g^2)
+        gradient = moved * 0.1 / np.sqrt(np.maximum(1 - moved**2, 1e-12))
+        flat = np.flatnonzero(np.abs(gradient).ravel() > 1e-3)[:20]
+        assert len(flat), k
+        for at in flat:
+            found = []
+            for step in (0.01, -0.01):
+                other = net.copy()
+                other.parts()[k].ravel()[at] += step
+                found.append(-other.log_probability(tokens, context).mean())
+            assert np.isclose((found[0] - found[1]) / 0.02, gradient.ravel()[at], rtol=0.05, atol=1e-3), k
+
+
+def test_training_covers_every_position():
+    r = random.Random(2)
+    sizes = np.array([40, 3, 0, 1, 5000, 9])
+    ids = np.array([r.randrange(49_000) for _ in range(sizes.sum())], "<u2")
+    seen = []
+
+    class Spy(pseudo_likelihood.Learner):
+        def learn(self, tokens, context):
+            seen.extend(zip(tokens.tolist(), *(c.tolist() for c in context), strict=True))
+
+    original, pseudo_likelihood.Learner = pseudo_likelihood.Learner, Spy
+    try:
+        counts = [pseudo_likelihood.train_shard(pseudo_likelihood.Network.new(), k, np.array([0, 1, 0, 1, 1, 0], np.int8), sizes, ids)[1] for k in range(pseudo_likelihood.ROUNDS)]
+    finally:
+        pseudo_likelihood.Learner = original
+    assert sum(counts) == len(ids) and min(counts) > 2000
+    line, places = pseudo_likelihood._padded(ids, sizes)
+    assert sorted(seen) == sorted((int(t), *(int(line[p + j]) for j in (-2, -1, 1, 2))) for t, p in zip(ids, places, strict=True))
 
 
 # ------------------------------------------------------------------ empty tables
@@ -769,6 +845,6 @@ def test_empty_tables(spark, none):
         packing.pack(none, tokenizer_file()),
         telephony.describe(telephony.store(none)),
         pii.find(none),
-        pseudo_likelihood.score(none, pseudo_likelihood.train(none)),
+        pseudo_likelihood.score(pseudo_likelihood.shards(none, tokenizer_file()), pseudo_likelihood.start(pseudo_likelihood.shards(none, tokenizer_file()))),
     ):
         assert out.count() == 0
