@@ -2,8 +2,9 @@
 
 Documents with equal texts form one atomic group (null counts as the empty text).  Groups stand in
 the order of their texts' SHA-256, and the smallest capacity at which a greedy scan fits them into
-the given number of shards is found by search; the cuts keep that capacity and lie as near to equal
-shares as it allows.
+the given number of shards is found by search.  The cuts keep that capacity, which makes the largest shard
+as small as it can be, but do not lie where the greedy scan ended: they lie as near to equal shares as the
+capacity allows, since the scan fills the first shards and leaves the last ones short or empty.
 
 * Size of a document: UTF-8 bytes of its text plus 8; a group of any size stays whole.
 * Repeated rows are separate documents of one group; a null doc_id keeps its row.

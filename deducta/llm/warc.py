@@ -144,12 +144,14 @@ class _Reader:
     def take(self, n: int) -> Iterator[bytes]:
         """The next n bytes, a chunk at a time."""
         while n:
-            if not self.held:
-                self.held = self.stream.read(CHUNK)
-                if not self.held:
+            size = min(n, CHUNK)  # whole chunks, wherever the buffer ends, so that equal payloads have equal rows
+            while len(self.held) < size:
+                more = self.stream.read(CHUNK)
+                if not more:
                     raise ValueError("the archive ends inside a payload")
-            part, self.held = self.held[: min(n, CHUNK)], self.held[min(n, CHUNK) :]
-            n -= len(part)
+                self.held += more
+            part, self.held = self.held[:size], self.held[size:]
+            n -= size
             yield part
 
 

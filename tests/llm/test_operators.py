@@ -416,6 +416,7 @@ def test_warc_round_trip(spark):
         expected.append((i, len(raw(t)), hashlib.sha1(raw(t)).hexdigest(), "revisit" if again else "response", first if again else None))
     assert got == sorted(expected, key=str)
     chunks = warc.read_chunks(warc.write_archives(warc.plan_records(pages))).where("record_id = 5").orderBy("chunk").collect()
+    assert [len(c.data) for c in chunks[:-1]] == [warc.CHUNK] * (len(chunks) - 1)
     assert len(chunks) > 1 and b"".join(c.data for c in chunks) == raw(long)
     done = hashlib.sha1()
     for c in chunks:
