@@ -67,21 +67,32 @@ def bounded(df: DataFrame, most: int) -> tuple[DataFrame, int]:
     return (F.broadcast(rows) if n <= most else rows), n
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, least: int = 10_000, most: int = 100_000) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], least: int = 10_000, most: int = 100_000) -> DataFrame:
     """``rows`` left-joined to ``counted`` (key, n, ...), which has one row a key and how many rows hold it.
 
     Of the keys of over ``least`` rows, the ``most`` most frequent are sent to every executor, so that no task
     gets all rows of a hot key; the others meet in a shuffle.
     """
-    ranked = counted.where(F.col("n") > least).orderBy(F.desc("n"), key).limit(most)
+    keys = [key] if isinstance(key, str) else key
+    ranked = counted.where(F.col("n") > least).orderBy(F.desc("n"), *keys).limit(most)
     hot = checkpoint(ranked.drop("n").withColumn("_hot", F.lit(True)))
     if hot.isEmpty():
-        return rows.join(counted.drop("n"), key, "left")
-    met = rows.join(F.broadcast(hot), key, "left")
-    cold = met.where("_hot IS NULL").select(*rows.columns).join(counted.drop("n"), key, "left")
+        return rows.join(counted.drop("n"), keys, "left")
+    met = rows.join(F.broadcast(hot), keys, "left")
+    cold = met.where("_hot IS NULL").select(*rows.columns).join(counted.drop("n"), keys, "left")
     return met.where("_hot").drop("_hot").unionByName(cold)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """``df`` as a stored table in buckets of the keys: joins on all of them do not shuffle it again."""
+    spark = df.sparkSession
+    n = min(partitions(spark), 100_000)
+    table = f"{name}_{uuid.uuid4().hex}"
+    rows = df.repartition(n, *keys).write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}")
+    rows.bucketBy(n, *keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

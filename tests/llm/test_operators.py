@@ -226,11 +226,56 @@ def brute_removal(rows, k=20):
     return sorted(out)
 
 
-def test_repeats(docs, rows):
+@pytest.mark.parametrize(("frequent", "size"), [(1024, 1 << 21), (2, 5000)])
+def test_repeats(docs, rows, frequent, size, monkeypatch):
+    monkeypatch.setattr(substrings, "SAMPLE", 1)
+    monkeypatch.setattr(substrings, "FREQUENT", frequent)
+    monkeypatch.setattr(substrings, "BATCH_BYTES", size)
     got = sorted((-1 if x.doc_id is None else x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substrings.removal_digests(docs).collect())
     assert got == brute_removal(rows)
 
 
+def test_repeats_of_a_frequent_minimiser(spark, monkeypatch):
+    r = random.Random(9)
+    core = "v1 v2 v3 v4 v5 v6"
+    rows = []
+    for k in range(300):
+        tail = f"x{r.randint(0, 40)} " + " ".join(f"y{j}" for j in range(20))
+        rows.append((k, " ".join(f"z{r.randint(0, 3)}" for _ in range(18)) + f" {core} {tail}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = []
+    for frequent in (1 << 40, 5):
+        monkeypatch.setattr(substrings, "SAMPLE", 1)
+        monkeypatch.setattr(substrings, "FREQUENT", frequent)
+        found.append(len(substrings.frequent_minimisers(substrings._sources(docs), 20, 6)))
+        assert sorted(tuple(x) for x in substrings.removal_digests(docs).collect()) == brute_removal(rows)
+    assert found[0] == 0 < found[1]
+
+
+def test_pieces_are_compacted_and_verified(spark):
+    r = random.Random(4)
+    line = [f"w{r.randint(0, 9999)}" for _ in range(400)]
+    rows = [(1, " ".join(line)), (2, "a b " + " ".join(line[100:300]) + " c"), (3, " ".join(line[:90]) + " d " + " ".join(line[150:]))]
+    texts = substrings._sources(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    spans = substrings.compacted(substrings.repeated_windows(texts))
+    assert sorted((x.doc, x.s, x.n) for x in spans.collect()) == [(2, 2, 181), (3, 0, 71), (3, 91, 231)]
+    digests = substrings.sourced(spans, texts).collect()
+    words = {i: t.encode().split() for i, t in rows}
+    assert all(x.source is None or x.digest == substrings._digest(words[x.doc], x.s, x.n, 20) for x in digests)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([rows[0][1].encode()]), pa.array([[3]]), pa.array([[2]]), pa.array([[b"other"]])], ["a", "b", "c", "d", "e"])
+    with pytest.raises(ValueError, match="not those of their source"):
+        list(substrings._kept_batches(20, True)(iter([batch])))
+
+
+def test_rows_without_an_id_are_apart(spark):
+    r = random.Random(6)
+    rows = [(None, " ".join(f"w{r.randint(0, 30)}" for _ in range(30))) for _ in range(50)] + [(None, "same words " * 15)] * 3
+    got = substrings.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and all(x.n_words == 30 for x in got)
+    again = [x for x in got if x.n_removed]
+    assert len(again) == 3 and len({x.kept_sha256 for x in again}) == 1
+
+
 def test_periodic_repeats(spark):
     r = random.Random(2)
     rows = [(k, " ".join(r.choice("ab") for _ in range(r.choice([0, 19, 20, 40, 300]))) if k % 4 else "a " * r.choice([19, 20, 21, 90])) for k in range(80)]
