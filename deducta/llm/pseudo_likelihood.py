@@ -1,10 +1,11 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 Each token, masked, is predicted from the ``SIDE`` tokens on both sides of it.  Tokens are the ids of a public
-tokenizer.  What surrounds a token is read through ``CLASSES`` hashed classes; the token itself is predicted
-exactly, as three digits to the base ``BASE``, each given those before it, so that it costs 3 * BASE outputs and
-the probabilities of all tokens add up to one.  A document's score is the sum of the conditional
-log-probabilities of its tokens.
+tokenizer.  The softmax is factored by classes: each of the ``OWN`` tokens that are most frequent in the corpus is a
+class of its own, the others share the rest of the BASE * BASE classes by their rank and are told apart by
+their share of the class.  A class is predicted as two digits, the second given the first, so that a token costs
+2 * BASE outputs; the probabilities of all tokens add up to one.  A document's score is the sum of the
+conditional log-probabilities of its tokens.
 
 * A null or empty text has no tokens: score 0, mean null.  Repeated rows train and score each.
 * Beyond a document's ends stands a class of its own.
@@ -35,8 +36,9 @@ from pyspark.sql import functions as F
 from .common import staged, utf8
 from .packing import _tokenizer
 
-BASE = 37  # its cube is over the ids of the vocabulary
-CLASSES = 1024  # class 0 stands beyond a document's ends
+BASE = 37
+CLASSES = BASE * BASE
+OWN = 1200
 SIDE = 2
 HIDDEN = 16
 ROUNDS = 2
@@ -49,63 +51,84 @@ _SHIFTS = tuple(j for j in range(-SIDE, SIDE + 1) if j)
 SHARDS = "shard long, doc_ids array<long>, starts binary, sizes binary, ids binary"
 
 
+_DIGITS = np.kron(np.eye(2, dtype=np.float32), np.ones((BASE, 1), np.float32))  # adds up the outputs of each digit
+_LARGEST = np.float32(60)  # of an output, whose exponential must not overflow
+
+
 @dataclass
 class Network:
-    """Context tables by place, hidden bias, and for each digit its weights and its biases by the digits before."""
+    """Context tables by place, hidden bias, and for the two digits weights side by side and biases.
+
+    Fixed by the corpus's counts: the class of every id, and the logarithm of its share of the class.
+    """
 
-    tables: np.ndarray  # places x CLASSES x HIDDEN
+    classes: np.ndarray
+    shares: np.ndarray
+    tables: np.ndarray  # places * (1 + CLASSES) x HIDDEN; the first of a place stands beyond a document's ends
     bias: np.ndarray
-    weights: np.ndarray  # 3 x HIDDEN x BASE
+    weights: np.ndarray  # HIDDEN x 2 * BASE
     first: np.ndarray  # BASE
-    second: np.ndarray  # BASE x BASE
-    third: np.ndarray  # BASE^2 x BASE
+    second: np.ndarray  # BASE (the first digit) x BASE
 
     @classmethod
-    def new(cls, seed: int = 11) -> Network:
+    def new(cls, counts: np.ndarray, seed: int = 11) -> Network:
+        """Without context, every token has its share of the corpus; counts: of every id, none of them zero."""
+        order = np.argsort(-counts, kind="stable")
+        rank = np.arange(len(counts))
+        of_rank = np.minimum(rank, OWN + np.maximum(rank - OWN, 0) * (CLASSES - OWN) // max(1, len(counts) - OWN))
+        classes = np.empty(len(counts), np.int16)
+        classes[order] = of_rank
+        mass = np.bincount(classes, counts, minlength=CLASSES)
+        shares = np.log(counts / mass[classes]).astype(np.float32)
+        by = np.maximum(mass, 1e-9).reshape(BASE, BASE)
+        first, second = np.log(by.sum(axis=1) / by.sum()), np.log(by / by.sum(axis=1, keepdims=True))
         r = np.random.default_rng(seed)
         small = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
-        zero = lambda *shape: np.zeros(shape, np.float32)
-        return cls(small(len(_SHIFTS), CLASSES, HIDDEN), small(HIDDEN), small(3, HIDDEN, BASE), zero(BASE), zero(BASE, BASE), zero(BASE * BASE, BASE))
+        return cls(classes, shares, small(len(_SHIFTS) * (1 + CLASSES), HIDDEN), small(HIDDEN), small(HIDDEN, 2 * BASE), first.astype(np.float32), second.astype(np.float32))
 
     def parts(self) -> list[np.ndarray]:
-        return [self.tables, self.bias, self.weights, self.first, self.second, self.third]
+        """What is trained."""
+        return [self.tables, self.bias, self.weights, self.first, self.second]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.parts()])
 
     def copy(self) -> Network:
-        return Network(*(x.copy() for x in self.parts()))
+        return Network(self.classes, self.shares, *(x.copy() for x in self.parts()))
 
-    @classmethod
-    def of(cls, flat: np.ndarray) -> Network:
+    def of(self, flat: np.ndarray) -> Network:
+        """The same network with other trained parts."""
         out, at = [], 0
-        for x in cls.new().parts():
+        for x in self.parts():
             out.append(flat[at : at + x.size].astype(np.float32).reshape(x.shape))
             at += x.size
-        return cls(*out)
+        return Network(self.classes, self.shares, *out)
 
-    def hidden(self, context: list[np.ndarray]) -> np.ndarray:
-        x = self.tables[0][context[0]]
-        for k in range(1, len(context)):
-            x += self.tables[k][context[k]]
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        """context: a row of table rows for each place around the tokens."""
+        x = self.tables[context[0]]
+        for c in context[1:]:
+            x += self.tables[c]
         x += self.bias
         return np.tanh(x, out=x)
 
-    def steps(self, h: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """The exponentials of each digit's outputs, less the largest, and the true digit."""
-        high, low = np.divmod(tokens, BASE)
-        for k, (bias, digit) in enumerate(((self.first, high // BASE), (self.second[high // BASE], high % BASE), (self.third[high], low))):
-            z = h @ self.weights[k]
-            z += bias
-            z -= z.max(axis=1, keepdims=True)
-            yield np.exp(z, out=z), digit
-
-    def log_probability(self, tokens: np.ndarray, context: list[np.ndarray]) -> np.ndarray:
-        rows = np.arange(len(tokens))
-        ratio = np.ones(len(tokens))  # of three numbers between 1e-38 and 1: no underflow in double precision
-        for z, digit in self.steps(self.hidden(context), tokens):
-            ratio *= np.maximum(z[rows, digit], np.float32(1e-38)) / z.sum(axis=1)
-        return np.log(ratio)
+    def outputs(self, h: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The exponentials of both digits' outputs, their sums by digit, and the columns of the true digits."""
+        columns = np.empty((2, len(classes)), np.int64)
+        np.divmod(classes, BASE, out=(columns[0], columns[1]))
+        z = h @ self.weights
+        z[:, :BASE] += self.first
+        z[:, BASE:] += self.second[columns[0]]
+        columns[1] += BASE
+        np.minimum(z, _LARGEST, out=z)
+        np.exp(z, out=z)
+        return z, z @ _DIGITS, columns
+
+    def log_probability(self, tokens: np.ndarray, context: np.ndarray) -> np.ndarray:
+        z, sums, columns = self.outputs(self.hidden(context), self.classes[tokens])
+        ratio = np.take_along_axis(z, columns.T, 1).astype(float)
+        ratio /= sums
+        return np.log(np.maximum(ratio[:, 0] * ratio[:, 1], 1e-300)) + self.shares[tokens]
 
 
 class Learner:
@@ -117,50 +140,48 @@ class Learner:
 
     def _move(self, k: int, gradient: np.ndarray, at: object = slice(None)) -> None:
         part, square = self.net.parts()[k], self.square[k]
-        square[at] += gradient * gradient
-        part[at] -= RATE * gradient / np.sqrt(square[at])
-
-    def _scatter(self, k: int, at: np.ndarray, d: np.ndarray, before: tuple = ()) -> None:
-        """Add up the rows of ``d`` by the row of the part that they belong to."""
-        order = np.argsort(at, kind="stable")
-        begin = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) > 0]))
-        self._move(k, np.add.reduceat(d[order], begin, axis=0), (*before, at[order[begin]]))
-
-    def learn(self, tokens: np.ndarray, context: list[np.ndarray]) -> None:
-        net, n = self.net, len(tokens)
+        moved = square[at] + gradient * gradient
+        square[at] = moved
+        part[at] -= np.float32(RATE) * gradient / np.sqrt(moved)
+
+    def _scatter(self, k: int, at: np.ndarray, d: np.ndarray) -> None:
+        """Add up the rows of ``d`` (repeated as often as it takes) by the row of the part that they belong to."""
+        order = np.argsort(at, kind="stable")  # 16-bit numbers: a radix sort
+        names = at[order]
+        begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        rows = d[order] if len(d) == len(at) else d[order % len(d)]
+        self._move(k, np.add.reduceat(rows, begin, axis=0), names[begin])
+
+    def learn(self, classes: np.ndarray, context: np.ndarray) -> None:
+        net, n = self.net, len(classes)
         h = net.hidden(context)
-        rows, high = np.arange(n), tokens // BASE
-        d = []
-        for z, digit in net.steps(h, tokens):
-            z /= z.sum(axis=1, keepdims=True)
-            z[rows, digit] -= 1
-            z /= np.float32(n)
-            d.append(z)
-        back = sum(x @ w.T for x, w in zip(d, net.weights, strict=True)) * (1 - h * h)
-        by_first = np.zeros((BASE, n), np.float32)
-        by_first[high // BASE, rows] = 1
-        self._move(2, np.stack([h.T @ x for x in d]))
-        self._move(3, d[0].sum(axis=0))
-        self._move(4, by_first @ d[1])
-        self._scatter(5, high, d[2])
-        self._move(1, back.sum(axis=0))
-        for k, c in enumerate(context):
-            self._scatter(0, c, back, (k,))
-
-
-def classes_of(ids: np.ndarray) -> np.ndarray:
-    return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(CLASSES - 1) + np.uint64(1)
-
-
-def _padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the documents' ids with the ends' class around each, and the places of the ids."""
+        z, sums, columns = net.outputs(h, classes)
+        each = np.float32(1) / np.float32(n)
+        z *= (each / sums) @ _DIGITS.T
+        z[np.arange(n), columns] -= each
+        back = (z @ net.weights.T) * (1 - h * h)
+        one = np.ones(n, np.float32)
+        self._move(2, h.T @ z)
+        self._move(3, (one @ z)[:BASE])
+        self._scatter(4, columns[0].astype(np.int16), z[:, BASE:])
+        self._move(1, one @ back)
+        self._scatter(0, context.ravel(), back)
+
+
+def _padded(classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more than the classes of the documents' ids, with zeros around each document, and the places of the ids."""
     begin = SIDE + np.cumsum(counts + SIDE) - (counts + SIDE)
-    places = np.arange(len(ids)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
-    line = np.zeros(len(ids) + SIDE * (len(counts) + 1), np.int16)
-    line[places] = classes_of(ids)
+    places = np.arange(len(classes)) + np.repeat(begin - (np.cumsum(counts) - counts), counts)
+    line = np.zeros(len(classes) + SIDE * (len(counts) + 1), np.int16)
+    line[places] = classes + np.int16(1)
     return line, places
 
 
+def _around(line: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The table rows of what stands around the places: a row for each place of ``_SHIFTS``."""
+    return np.stack([line[places + j] + np.int16(k * (1 + CLASSES)) for k, j in enumerate(_SHIFTS)])
+
+
 def _token_batches(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Each text's ids, and the hash of the text by which its positions are dealt to the rounds."""
 
@@ -235,23 +256,23 @@ def train_shard(network: Network, turn: int, starts: np.ndarray, sizes: np.ndarr
     ends = np.cumsum(sizes)
     for part in _pieces(sizes):
         count = sizes[part]
-        own = ids[ends[part.start] - count[0] : ends[part.stop - 1]]
+        own = network.classes[ids[ends[part.start] - count[0] : ends[part.stop - 1]]]
         line, places = _padded(own, count)
         first = np.repeat(np.cumsum(count) - count, count)
         chosen = np.flatnonzero((np.arange(len(own)) - first + np.repeat(starts[part], count) + turn) % ROUNDS == 0)
         at = places[chosen]
-        held.append(np.stack([own[chosen].astype(np.int32), *(line[at + j].astype(np.int32) for j in _SHIFTS)]))
+        held.append(np.concatenate([own[chosen][None], _around(line, at)]))
         waiting += len(chosen)
         if waiting < BATCH:
             continue
         rows = np.concatenate(held, axis=1)
         for k in range(0, waiting - BATCH + 1, BATCH):
-            learner.learn(rows[0, k : k + BATCH], list(rows[1:, k : k + BATCH]))
+            learner.learn(rows[0, k : k + BATCH], rows[1:, k : k + BATCH])
             seen += BATCH
         held, waiting = [rows[:, waiting // BATCH * BATCH :]], waiting % BATCH
     if waiting:
         rows = np.concatenate(held, axis=1)
-        learner.learn(rows[0], list(rows[1:]))
+        learner.learn(rows[0], rows[1:])
         seen += waiting
     return learner.net, seen
 
@@ -270,25 +291,19 @@ def _train_batches(network: Network, turn: int) -> Callable[[Iterator[pa.RecordB
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BASE**3, np.int64)
+    total = np.zeros(1 << 16, np.int64)
     for *_, ids in _unpacked(batches):
-        if len(ids) and ids.max() >= len(total):
-            raise ValueError(f"the vocabulary has more than {len(total)} ids")
         total += np.bincount(ids, minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "v"])
 
 
 def start(stored: DataFrame) -> Network:
-    """The first network: without context, it gives every token its share of the whole corpus, one added to each count."""
-    counts = np.ones(BASE**3)
+    """The first network, from the counts of all ids in the whole corpus, one added to each."""
+    counts = np.ones(1 << 16)
     for r in stored.mapInArrow(_count_batches, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect():  # one row an id
         counts[r.k] += r.v
-    network = Network.new()
-    by = counts.reshape(BASE, BASE, BASE)
-    for part, n in ((network.first, by.sum(axis=(1, 2))), (network.second, by.sum(axis=2)), (network.third, counts.reshape(-1, BASE))):
-        part[...] = np.log(n / n.sum(axis=-1, keepdims=True))
-    return network
+    return Network.new(counts)
 
 
 def train(stored: DataFrame) -> Network:
@@ -300,17 +315,17 @@ def train(stored: DataFrame) -> Network:
         size = len(network.flat())
         if not found.get(size):
             continue
-        network = Network.of(np.array([found[k] / (found[size] * _FIXED) for k in range(size)]))
+        network = network.of(np.array([found[k] / (found[size] * _FIXED) for k in range(size)]))
     return network
 
 
 def log_probabilities(network: Network, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Of every id, given those around it in its document."""
-    line, places = _padded(ids, sizes)
+    line, places = _padded(network.classes[ids], sizes)
     out = np.zeros(len(ids))
-    for at in range(0, len(ids), 8192):
-        p = places[at : at + 8192]
-        out[at : at + len(p)] = network.log_probability(ids[at : at + 8192].astype(np.int32), [line[p + j] for j in _SHIFTS])
+    for at in range(0, len(ids), BATCH):
+        p = places[at : at + BATCH]
+        out[at : at + len(p)] = network.log_probability(ids[at : at + BATCH], _around(line, p))
     return out
 
 

@@ -793,8 +793,8 @@ def test_scores_do_not_depend_on_the_split(docs, monkeypatch):
 
 
 def random_network(seed=3):
-    net = pseudo_likelihood.Network.new()
     r = np.random.default_rng(seed)
+    net = pseudo_likelihood.Network.new(1 + r.integers(0, 50, 1 << 16).astype(float))
     for part in net.parts():
         part[...] = r.normal(0, 0.3, part.shape)
     return net
@@ -804,11 +804,11 @@ def slow_log_probability(net, ids, at):
     """Of the id at a place of one document, a digit at a time."""
     base = pseudo_likelihood.BASE
     around = [at + j for j in (-2, -1, 1, 2)]
-    seen = [int(pseudo_likelihood.classes_of(np.array([ids[k]]))[0]) if 0 <= k < len(ids) else 0 for k in around]
-    h = np.tanh(sum(net.tables[k, c].astype(float) for k, c in enumerate(seen)) + net.bias)
-    a, b, c = ids[at] // base**2, ids[at] // base % base, ids[at] % base
-    out = 0.0
-    for w, bias, digit in zip(net.weights, (net.first, net.second[a], net.third[a * base + b]), (a, b, c), strict=True):
+    seen = [int(net.classes[ids[k]]) + 1 if 0 <= k < len(ids) else 0 for k in around]
+    h = np.tanh(sum(net.tables[k * (base * base + 1) + c].astype(float) for k, c in enumerate(seen)) + net.bias)
+    a, b = divmod(int(net.classes[ids[at]]), base)
+    out = float(net.shares[ids[at]])
+    for w, bias, digit in ((net.weights[:, :base], net.first, a), (net.weights[:, base:], net.second[a], b)):
         z = np.exp(h @ w + bias)
         out += np.log(z[digit] / z.sum())
     return out
@@ -824,8 +824,8 @@ def test_log_probabilities_by_definition():
 
 def test_probabilities_of_all_tokens_add_up_to_one():
     net = random_network()
-    tokens = np.arange(pseudo_likelihood.BASE**3)
-    logs = net.log_probability(tokens, [np.full(len(tokens), c) for c in (0, 5, 9, 700)])
+    tokens = np.arange(1 << 16)
+    logs = net.log_probability(tokens, np.array([[0], [1400], [2800], [5000]]) + np.zeros(len(tokens), int))
     assert np.isclose(np.exp(logs).sum(), 1, atol=1e-4)
 
 
@@ -833,17 +833,20 @@ def test_start_is_the_share_in_the_corpus(spark):
     stored = pseudo_likelihood.shards(spark.createDataFrame([(1, "alpha beta beta"), (2, "beta")], "doc_id long, text string"), tokenizer_file())
     net = pseudo_likelihood.start(stored)
     ids = np.concatenate([np.frombuffer(r.ids, "<u2") for r in stored.collect()])
-    counts = np.bincount(ids, minlength=pseudo_likelihood.BASE**3) + 1
+    counts = np.bincount(ids, minlength=1 << 16) + 1
     net.weights[...] = 0
-    logs = net.log_probability(ids.astype(int), [np.zeros(len(ids), int)] * 4)
-    assert np.allclose(logs, np.log(counts[ids] / counts.sum()), atol=1e-4)
+    every = np.arange(1 << 16)
+    logs = net.log_probability(every, np.zeros((4, len(every)), int))
+    assert np.allclose(logs, np.log(counts / counts.sum()), atol=1e-4)
+    assert len(set(net.classes[np.argsort(-counts, kind="stable")[: pseudo_likelihood.OWN]])) == pseudo_likelihood.OWN
 
 
 def test_gradients():
     net, r = random_network(), np.random.default_rng(1)
-    tokens, context = r.integers(0, 49_000, 16), [r.integers(0, 1024, 16) for _ in range(4)]
+    tokens = r.integers(0, 49_000, 16)
+    context = r.integers(0, pseudo_likelihood.CLASSES + 1, (4, 16)).astype(np.int16) + (np.arange(4) * (pseudo_likelihood.CLASSES + 1))[:, None].astype(np.int16)
     learner = pseudo_likelihood.Learner(net.copy())
-    learner.learn(tokens, context)
+    learner.learn(net.classes[tokens], context)
     for k, (before, after) in enumerate(zip(net.parts(), learner.net.parts(), strict=True)):
         moved = (before - after) / pseudo_likelihood.RATE  # g / sqrt(0.01 + g^2)
         gradient = moved * 0.1 / np.sqrt(np.maximum(1 - moved**2, 1e-12))
@@ -860,22 +863,24 @@ def test_gradients():
 
 def test_training_covers_every_position():
     r = random.Random(2)
+    net = random_network()
     sizes = np.array([40, 3, 0, 1, 5000, 9])
     ids = np.array([r.randrange(49_000) for _ in range(sizes.sum())], "<u2")
     seen = []
 
     class Spy(pseudo_likelihood.Learner):
-        def learn(self, tokens, context):
-            seen.extend(zip(tokens.tolist(), *(c.tolist() for c in context), strict=True))
+        def learn(self, classes, context):
+            seen.extend(zip(classes.tolist(), *(c.tolist() for c in context), strict=True))
 
     original, pseudo_likelihood.Learner = pseudo_likelihood.Learner, Spy
     try:
-        counts = [pseudo_likelihood.train_shard(pseudo_likelihood.Network.new(), k, np.array([0, 1, 0, 1, 1, 0], np.int8), sizes, ids)[1] for k in range(pseudo_likelihood.ROUNDS)]
+        counts = [pseudo_likelihood.train_shard(net, k, np.array([0, 1, 0, 1, 1, 0], np.int8), sizes, ids)[1] for k in range(pseudo_likelihood.ROUNDS)]
     finally:
         pseudo_likelihood.Learner = original
     assert sum(counts) == len(ids) and min(counts) > 2000
-    line, places = pseudo_likelihood._padded(ids, sizes)
-    assert sorted(seen) == sorted((int(t), *(int(line[p + j]) for j in (-2, -1, 1, 2))) for t, p in zip(ids, places, strict=True))
+    line, places = pseudo_likelihood._padded(net.classes[ids], sizes)
+    around = pseudo_likelihood._around(line, places).T.tolist()
+    assert sorted(seen) == sorted((int(net.classes[t]), *x) for t, x in zip(ids, around, strict=True))
 
 
 # ------------------------------------------------------------------ empty tables
