@@ -120,9 +120,13 @@ class Network:
         z[:, :BASE] += self.first
         z[:, BASE:] += self.second[columns[0]]
         columns[1] += BASE
-        np.minimum(z, _LARGEST, out=z)
-        np.exp(z, out=z)
-        return z, z @ _DIGITS, columns
+        with np.errstate(over="ignore"):
+            out = np.exp(z)
+        sums = out @ _DIGITS
+        if not np.isfinite(sums).all():  # outputs of over 88: cut them
+            out = np.exp(np.minimum(z, _LARGEST, out=z), out=z)
+            sums = out @ _DIGITS
+        return out, sums, columns
 
     def log_probability(self, tokens: np.ndarray, context: np.ndarray) -> np.ndarray:
         z, sums, columns = self.outputs(self.hidden(context), self.classes[tokens])
@@ -149,8 +153,7 @@ class Learner:
         order = np.argsort(at, kind="stable")  # 16-bit numbers: a radix sort
         names = at[order]
         begin = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
-        rows = d[order] if len(d) == len(at) else d[order % len(d)]
-        self._move(k, np.add.reduceat(rows, begin, axis=0), names[begin])
+        self._move(k, np.add.reduceat(d.take(order, axis=0, mode="wrap"), begin, axis=0), names[begin])
 
     def learn(self, classes: np.ndarray, context: np.ndarray) -> None:
         net, n = self.net, len(classes)
