@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    short_batches(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
@@ -23,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def short_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of so many rows at most: the session's 10,000 whole texts take a worker hundreds of megabytes."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(setting, str(rows))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -54,6 +63,7 @@ def utf8(column: str | Column) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

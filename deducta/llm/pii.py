@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import short_batches
+
 KINDS = ("email", "ip", "card", "phone", "key", "iban", "ssn", "ip6")
 Span = tuple[str, int, int]
 
@@ -379,6 +381,7 @@ def _find_batches(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def find(docs: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans, for every document."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_find_batches(train()), FOUND)
 
 
@@ -394,6 +397,7 @@ def redact_text(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced in ``text``; other columns and rows as they are."""
+    short_batches(docs.sparkSession)
     model = train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
