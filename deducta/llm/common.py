@@ -38,20 +38,31 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back (columnar, prunable, durable)."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = path or fresh(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def appended(frames: Iterator[DataFrame], name: str, schema: str) -> DataFrame:
     """The rows of all frames, written one frame after another into one stored table."""
     path = spark = None
     for df in frames:
         spark = df.sparkSession
-        path = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        path = path or fresh(spark, name)
         df.write.mode("append").option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -19,7 +19,7 @@ def op2_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.describe(telephony.store(table(spark, sf_dir, "documents")))
+    return telephony.described(table(spark, sf_dir, "documents"))
 
 
 def op4_masked_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

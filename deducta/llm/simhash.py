@@ -360,12 +360,20 @@ def _may_be_alike(n: int, m: int, a: bytes, b: bytes) -> bool:
     return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= n + m
 
 
-def _sketch_batches(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each set's size, sketch, and first elements: a fifth of it and one more, common shingles last."""
-    types = {"node": pa.int64(), "n": pa.int64(), "bits": pa.binary(), "firsts": pa.binary()}
+def _fold(bits: bytes) -> bytes:
+    """The sketch of ``LEAST_BITS`` bits."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 64 > LEAST_BITS:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _sketch_batches(common: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each set's size, sketch, and first elements: a fifth of it and one more, common shingles last, by how often they occur."""
+    types = {"node": pa.int64(), "n": pa.int64(), "bits": pa.binary(), "fold": pa.binary(), "firsts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, bytes]] = []
+        held: list[tuple[int, int, bytes, bytes, bytes]] = []
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.values(), strict=True)], list(types))
@@ -374,8 +382,9 @@ def _sketch_batches(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
             found = ordered = shingle_set(text)
             if len(common):
                 place = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                ordered = found[np.argsort(common[place] == found, kind="stable")]
-            held.append((node, len(found), _sketch(found), ordered[: len(found) // 5 + 1].tobytes()))
+                ordered = found[np.argsort(np.where(common[place] == found, counts[place], 0), kind="stable")]
+            bits = _sketch(found)
+            held.append((node, len(found), bits, _fold(bits), ordered[: len(found) // 5 + 1].tobytes()))
             if len(held) == 256:
                 yield rows()
                 held = []
@@ -448,6 +457,62 @@ def _both_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(both, pa.int64())], ["a", "b", "n", "both"])
 
 
+def _apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket: pairs in one bucket and several components whose sizes and folded sketches allow the similarity.
+
+    A bucket that the end of a batch cuts waits for the next batch.
+    """
+    held: tuple[np.ndarray, ...] | None = None
+
+    def pairs(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        bucket, node, n, c, fold = part
+        out = [np.zeros((2, 0), np.int64)]
+        i = np.arange(len(bucket))
+        for d in range(1, len(bucket)):  # a diagonal of all buckets at a time
+            i = i[i < len(bucket) - d]
+            i = i[bucket[i] == bucket[i + d]]
+            if not len(i):
+                break
+            j = i + d
+            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            some = (c[i] != c[j]) & (node[i] != node[j]) & (5 * small >= 4 * large)
+            x, y = i[some], j[some]
+            near = 9 * np.bitwise_count(fold[x] ^ fold[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
+            a, b = node[x[near]], node[y[near]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        words = b"".join(batch.column(4).to_pylist())
+        new = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), np.frombuffer(words, np.uint64).reshape(batch.num_rows, -1))
+        part = new if held is None or not len(held[0]) else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
+        cut = int(np.flatnonzero(np.diff(part[0]))[-1]) + 1 if len(part[0]) and part[0][0] != part[0][-1] else 0
+        if cut and len(part[0]) >= 4096:
+            yield pairs(tuple(x[:cut] for x in part))
+            part = tuple(x[cut:] for x in part)
+        held = part
+    if held is not None and len(held[0]):
+        yield pairs(held)
+
+
+def _apart(named: DataFrame, folds: DataFrame) -> DataFrame:
+    """(a, b): texts of different components that share a first shingle and may be alike.
+
+    Large groups are dealt out as pairs of sub-blocks, and only pairs that sizes and sketches leave go out.
+    """
+    groups = named.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high")
+    rows = named.join(groups.select("s", "rows"), "s").join(folds, "node")
+    dealt = (
+        rows.withColumn("g", F.ceil(F.col("rows") / BUCKET).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        .select(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "n", "c", "fold")
+    )
+    n = max(partitions(named.sparkSession), 1)
+    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_apart_batches, "a long, b long").distinct()
+
+
 def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs whose Jaccard similarity is at least 0.8: by sketches first, and what they leave by whole sets."""
 
@@ -478,15 +543,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
     a group is named by its smallest (doc_id, text hash), a null doc_id after all others.  No such pair is missed: under one order of all
     shingles, the first fifth of each set, and one more, have an element in common.  Common shingles
     come last in that order, which only saves work.  Texts that share such an element are first compared
-    with one or a few of those that have it; what is then still apart is compared in pairs.  Sketches leave
-    out pairs that cannot be alike.
+    with one or a few of those that have it; what is then still apart is compared in blocks by size and folded
+    sketch, and what they leave, by whole sets.
     """
     names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("node"))
     texts = docs.select(text_hash().alias("node"), utf8("text").alias("text"))
     some = texts.where(F.pmod("node", F.lit(SPREAD)) == 0).mapInArrow(_shingle_batches, "s long").groupBy("s").count()
     frequent = some.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
-    common = np.sort(np.array([r.s for r in frequent], np.int64).view(np.uint64))
-    sketched = staged(texts.mapInArrow(_sketch_batches(common), "node long, n long, bits binary, firsts binary"), "sketches")
+    common, counts = np.array([r.s for r in frequent], np.int64).view(np.uint64), np.array([r["count"] for r in frequent], np.int64)
+    order = np.argsort(common)
+    sketched = staged(texts.mapInArrow(_sketch_batches(common[order], counts[order]), "node long, n long, bits binary, fold binary, firsts binary"), "sketches")
     sketches = sketched.select("node", "n", "bits").dropDuplicates(["node"])
     firsts = sketched.select("node", "n", "firsts").mapInArrow(_first_batches, "s long, node long, n long")
     spread = firsts.repartition(max(partitions(docs.sparkSession), 1), "s").sortWithinPartitions("s", "node")
@@ -494,10 +560,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     first = checkpoint(shared.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
     found = checkpoint(_alike(first, sketches, texts))
     of = checkpoint(components(found))
-    named = shared.join(of, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c"))
-    x, y = named.alias("x"), named.alias("y")
-    apart = x.join(y, F.expr("x.s = y.s AND x.node < y.node AND x.c != y.c AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)"))
-    second = apart.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    named = shared.select("s", "node", "n").join(of, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c"))
+    folds = sketched.select("node", "fold").dropDuplicates(["node"])
+    second = checkpoint(_apart(named, folds).join(first, ["a", "b"], "left_anti"))
     more = checkpoint(_alike(second, sketches, texts))
     of = components(found.unionByName(more)) if more.take(1) else of
 

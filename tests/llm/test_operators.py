@@ -569,6 +569,7 @@ def test_stored_audio(docs, rows, group, piece, monkeypatch):
             samples = [v for u in units for v in slow_ima(u)] if codec == 2 else [int((telephony.MULAW_PCM, telephony.ALAW_PCM)[codec][c]) for c in payload]
             assert x.feature == slow_features(slow_resample(samples, 8000, 4000))
     assert codecs == {0, 1, 2}
+    assert sorted(map(str, telephony.described(docs, parts=3).collect())) == sorted(map(str, got))
     assert all(len(s) == 1 for s in same.values())
 
 

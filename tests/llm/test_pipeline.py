@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from deducta.llm import pii
 
@@ -71,7 +73,9 @@ def test_run_returns_pieces(spark):
     assert out.count() > 0 and "sequence_id" in out.columns
 
 
-def test_near_copies_of_four_fifths(spark):
+@pytest.mark.parametrize("bucket", [2048, 7])
+def test_near_copies_of_four_fifths(spark, monkeypatch, bucket):
+    monkeypatch.setattr(corpus_pipeline.simhash, "BUCKET", bucket)
     r = random.Random(5)
     words = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
     sets = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
