@@ -139,7 +139,10 @@ class MagicEngine(Engine):
     goal_directed = True
 
     def _rows(self, atom: Atom) -> DataFrame:
-        clauses, pred = demand([c for c in self.clauses if c.head], atom, set(self.external))
+        return self._evaluate([c for c in self.clauses if c.head], atom)
+
+    def _evaluate(self, clauses: list[Rule], atom: Atom) -> DataFrame:
+        clauses, pred = demand(clauses, atom, set(self.external))
         read = {x.atom.pred for c in clauses for x in c.body} | {pred}
         external = {name_: d for p, d in self.external.items() for name_ in (p, "external#" + p) if name_ in read}
         program = analyse(clauses, {p: len(d.columns) for p, d in external.items()})
@@ -149,6 +152,18 @@ class MagicEngine(Engine):
         return found[pred]
 
 
+    def violations(self) -> list[tuple[Rule, DataFrame]]:
+        """For each constraint, the bindings that break it: a goal of its own, which derives only what it can reach."""
+        out = []
+        for k, c in enumerate(self.program.constraints):
+            named = [v for v in {v: None for x in c.positive for v in x.atom.variables} if not v.anonymous]
+            goal = Atom(f"constraint#{k}", tuple(named) or (Const(1),))
+            clauses = [x for x in self.clauses if x.head] + [Rule(goal, c.body)]
+            rows = self._evaluate(clauses, goal)
+            out.append((c, rows.toDF(*(v.name for v in named)) if named else rows.select(F.lit(1).alias(UNIT))))
+        return out
+
+
 class TabledEngine(MagicEngine):
     """Demand-driven answers that are kept by call pattern; a more general table serves a special call."""
 

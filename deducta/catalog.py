@@ -37,7 +37,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _table(spark: SparkSession, d: str, name: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet").selectExpr(*columns)
+    """The columns of a table, as rows without nulls, which are no facts."""
+    rows = spark.read.parquet(f"{d}/{name}.parquet").selectExpr(*columns)
+    return rows.where(" AND ".join(f"{c} IS NOT NULL" for c in rows.columns))
 
 
 def sup(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +53,7 @@ def sup_cost(spark: SparkSession, d: str) -> DataFrame:
     """The same edges with the least price of such a first line in cents."""
     a = _table(spark, d, "lineitem", "l_orderkey AS o", "l_linenumber + 1 AS n", "l_suppkey AS s", "l_quantity AS q", "CAST(round(l_extendedprice * 100) AS BIGINT) AS c").where("q >= 50").drop("q")
     b = _table(spark, d, "lineitem", "l_orderkey AS o", "l_linenumber AS n", "l_suppkey AS t")
-    return a.join(b, ["o", "n"]).where("s < t").groupBy("s", "t").agg(F.min("c").alias("c"))
+    return a.join(b, ["o", "n"]).where("s < t").groupBy("s", "t").agg(F.min("c").alias("c")).where("c IS NOT NULL")
 
 
 def turn(spark: SparkSession, d: str) -> DataFrame:
@@ -115,8 +117,19 @@ CONTAINS = "contains AS (SELECT 'r' || n_regionkey AS x, 'n' || n_nationkey AS y
 PATHS = f"{SUP}, p AS (SELECT s, d FROM sup UNION SELECT sup.s, p.d FROM sup JOIN p ON sup.d = p.s)"
 FROM_7 = f"{SUP}, r AS (SELECT d FROM sup WHERE s = 7 UNION SELECT sup.d FROM sup JOIN r ON sup.s = r.d)"
 
+#: A node is won if it has a move to one that is not alive, and alive if it has a move to one that is not won, as far as is known.
+WINS = (
+    "WITH RECURSIVE hop AS (SELECT DISTINCT a.l_suppkey AS s, b.l_suppkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1"
+    " WHERE a.l_quantity >= 50 AND a.l_suppkey <> b.l_suppkey AND a.l_suppkey % 10 <> 9),"
+    " w AS (SELECT 0 AS k, CAST([] AS BIGINT[]) AS won, (SELECT list(x) FROM (SELECT s AS x FROM hop UNION SELECT d FROM hop)) AS alive"
+    " UNION ALL SELECT w.k + 1, coalesce((SELECT list(DISTINCT hop.s) FROM hop WHERE NOT list_contains(w.alive, hop.d)), CAST([] AS BIGINT[])),"
+    " coalesce((SELECT list(DISTINCT hop.s) FROM hop WHERE NOT list_contains(w.won, hop.d)), CAST([] AS BIGINT[])) FROM w WHERE w.k < 60)"
+)
+
 LINEAR = "p(S, D) :- sup(S, D). p(S, D) :- sup(S, M), p(M, D)."
 LEFT = "p(S, D) :- sup(S, D). p(S, D) :- p(S, M), sup(M, D)."
+ODD_EVEN = "odd(X, Y) :- sup(X, Y). odd(X, Z) :- even(X, Y), sup(Y, Z). even(X, Z) :- odd(X, Y), sup(Y, Z)."
+SAME = "sg(X, X) :- sup(X, _). sg(X, X) :- sup(_, X). sg(X, Y) :- sup(P, X), sg(P, Q), sup(Q, Y)."
 TWICE = "p(S, D) :- sup(S, D). p(S, D) :- p(S, M), p(M, D)."
 _PATHS_SQL = f"WITH RECURSIVE {PATHS} SELECT s, d FROM p"
 _FROM_7_SQL = f"WITH RECURSIVE {FROM_7} SELECT d FROM r"
@@ -132,10 +145,10 @@ def _semiring(kind: str, text: str, pred: str, weight: str | None, final: Callab
     return run
 
 
-def _recursive_min(spark: SparkSession, d: str) -> DataFrame:
-    text = "near(Y, min(C)) :- cost(7, Y, C). near(Y, min(C)) :- near(X, B), cost(X, Y, C), B <= C. near(Y, min(B)) :- near(X, B), cost(X, Y, C), B > C."
-    found = best(spark, parse(text), {"cost": relation(sup_cost(spark, d))})["near"]
-    return found.toDF("d", "c")
+def _recursive_max(spark: SparkSession, d: str) -> DataFrame:
+    """AGG_9: the largest supplier that each reaches; a better value replaces the one kept."""
+    text = "top(S, max(D)) :- sup(S, D). top(S, max(E)) :- sup(S, D), top(D, E)."
+    return best(spark, parse(text), {"sup": relation(sup(spark, d))})["top"].toDF("s", "d")
 
 
 def _violations(spark: SparkSession, d: str) -> DataFrame:
@@ -160,9 +173,16 @@ def _delete(how: str) -> Query:
     return run
 
 
+def hop(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of consecutive lines of one order, in both directions, so that there are cycles; every tenth supplier is an end."""
+    a = _table(spark, d, "lineitem", "l_orderkey AS o", "l_linenumber + 1 AS n", "l_suppkey AS s", "l_quantity AS q").where("q >= 50 AND s % 10 != 9").drop("q")
+    b = _table(spark, d, "lineitem", "l_orderkey AS o", "l_linenumber AS n", "l_suppkey AS t")
+    return a.join(b, ["o", "n"]).where("s != t").select("s", "t").distinct()
+
+
 def _win(which: int) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        found = well_founded(spark, parse("win(X) :- sup(X, Y), not win(Y)."), {"sup": sup(spark, d)})[which]
+        found = well_founded(spark, parse("win(X) :- hop(X, Y), not win(Y)."), {"hop": hop(spark, d)})[which]
         return found["win"].toDF("x")
 
     return run
@@ -185,10 +205,12 @@ def _tabled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _closed_world(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-7: pairs of the active domain that are not stated."""
-    text = "node(X) :- contains(X, _), isnation(X, _). node(X) :- contains(_, X), isnation(X, _). absent(X, Y) :- node(X), node(Y), not near(X, Y). near(X, Y) :- contains(R, X), contains(R, Y)."
-    nations = _table(spark, d, "nation", "concat('n', n_nationkey) AS x", "n_name")
-    return _lower(Engine(spark, text, {"contains": contains(spark, d), "isnation": nations}).query("absent(X, Y)"))
+    """SRC-7: the examples reader closes the world: nations of one region are examples, all other pairs are not."""
+    nations = _table(spark, d, "nation", "concat('n', n_nationkey) AS x", "n_regionkey AS r")
+    pairs = nations.join(nations.withColumnRenamed("x", "y"), "r").select("x", "y")
+    model = Model(_small_facts(nations.select("x"), "nation"))
+    _, _, absent = read_examples(_small_facts(pairs, "near"), model)
+    return _frame(spark, absent, "x string, y string")
 
 
 ENTRIES: dict[str, tuple[Query, str | None]] = {
@@ -200,8 +222,8 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "REC_4_reach_nonlinear": (rules(TWICE, "p(S, D)", "sup"), _PATHS_SQL),
     "REC_1_thread_closure": (rules("t(C, A, B) :- turn(C, A, B). t(C, A, B) :- turn(C, A, M), t(C, M, B).", "t(C, A, B)", "turn"), f"WITH RECURSIVE {TURN}, t AS (SELECT c, a, b FROM turn UNION SELECT turn.c, turn.a, t.b FROM turn JOIN t ON turn.c = t.c AND turn.b = t.a) SELECT c, a, b FROM t"),
     "REC_1_containment": (rules("in(X, Y) :- contains(X, Y). in(X, Z) :- contains(X, Y), in(Y, Z).", "in(X, Y)", "contains"), f"WITH RECURSIVE {CONTAINS}, i AS (SELECT x, y FROM contains UNION SELECT contains.x, i.y FROM contains JOIN i ON contains.y = i.x) SELECT x, y FROM i"),
-    "REC_5_odd_even": (rules("odd(X, Y) :- sup(X, Y). odd(X, Z) :- even(X, Y), sup(Y, Z). even(X, Z) :- odd(X, Y), sup(Y, Z).", "even(X, Y)", "sup"), f"WITH RECURSIVE {SUP}, q AS (SELECT s AS x, d AS y, 1 AS k FROM sup UNION SELECT q.x, sup.d, 1 - q.k FROM q JOIN sup ON q.y = sup.s) SELECT DISTINCT x, y FROM q WHERE k = 0"),
-    "REC_6_same_generation": (rules("sg(X, X) :- sup(X, _). sg(X, X) :- sup(_, X). sg(X, Y) :- sup(P, X), sg(P, Q), sup(Q, Y).", "sg(X, Y)", "sup"), f"WITH RECURSIVE {SUP}, sg AS (SELECT x, x AS y FROM (SELECT s AS x FROM sup UNION SELECT d FROM sup) UNION SELECT a.d, b.d FROM sg JOIN sup a ON a.s = sg.x JOIN sup b ON b.s = sg.y) SELECT x, y FROM sg"),
+    "REC_5_odd_even": (rules(ODD_EVEN, "even(X, Y)", "sup"), f"WITH RECURSIVE {SUP}, q AS (SELECT s AS x, d AS y, 1 AS k FROM sup UNION SELECT q.x, sup.d, 1 - q.k FROM q JOIN sup ON q.y = sup.s) SELECT DISTINCT x, y FROM q WHERE k = 0"),
+    "REC_6_same_generation": (rules(SAME, "sg(X, Y)", "sup"), f"WITH RECURSIVE {SUP}, sg AS (SELECT x, x AS y FROM (SELECT s AS x FROM sup UNION SELECT d FROM sup) UNION SELECT a.d, b.d FROM sg JOIN sup a ON a.s = sg.x JOIN sup b ON b.s = sg.y) SELECT x, y FROM sg"),
     "REC_7_triple_store": (rules("t(X, type, D) :- t(X, type, C), t(C, sub, D). t(C, sub, E) :- t(C, sub, D), t(D, sub, E). t(X, sub, Y) :- contains(X, Y). t(C, type, N) :- contains(N, C), leafy(C).  leafy(C) :- contains(_, C), not inner(C). inner(C) :- contains(C, _).", "t(X, type, Y)", "contains"), f"WITH RECURSIVE {CONTAINS}, sub AS (SELECT x, y FROM contains UNION SELECT contains.x, sub.y FROM contains JOIN sub ON contains.y = sub.x), leaf AS (SELECT y AS x, x AS y FROM contains WHERE y NOT IN (SELECT x FROM contains)) SELECT x, y FROM leaf UNION SELECT leaf.x, sub.y FROM leaf JOIN sub ON leaf.y = sub.x"),
     "REC_8_for_all": (rules("bad(C) :- orders(_, C, S, _, _), S != \"F\". has(C) :- orders(_, C, _, _, _). allf(C) :- has(C), not bad(C).", "allf(C)", "orders"), "SELECT DISTINCT o_custkey AS c FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders p WHERE p.o_custkey = o.o_custkey AND p.o_orderstatus <> 'F')"),
     # goal-directed
@@ -225,7 +247,7 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "JOIN_4_triangle": (rules("q(A, B, C) :- sup(A, B), sup(B, C), sup(A, C).", "q(A, B, C)", "sup"), f"WITH {SUP} SELECT x.s AS a, x.d AS b, y.d AS c FROM sup x JOIN sup y ON x.d = y.s JOIN sup z ON z.s = x.s AND z.d = y.d"),
     "JOIN_5_anti": (rules("big(C) :- orders(_, C, _, P, _), P > 20000000. q(C) :- customer(C, _, _), not big(C).", "q(C)", "customer orders"), "SELECT c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND round(o_totalprice * 100) > 20000000)"),
     "JOIN_6_semi": (rules("q(C, S) :- customer(C, _, S), orders(_, C, \"P\", _, _).", "q(C, S)", "customer orders"), "SELECT c_custkey AS c, c_mktsegment AS s FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')"),
-    "JOIN_7_as_of": (rules("later(U, E, T) :- event(U, E, T), event(U, F, V), V > T. last(U, E) :- event(U, E, T), not later(U, E, T).", "last(U, E)", "event"), "SELECT user_id AS u, event_id AS e FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS m FROM events) WHERE ts = m"),
+    "JOIN_7_as_of": (rules("newest(U, max(T)) :- event(U, _, T). last(U, E) :- event(U, E, T), newest(U, T).", "last(U, E)", "event"), "SELECT user_id AS u, event_id AS e FROM (SELECT *, max(ts) OVER (PARTITION BY user_id) AS m FROM events) WHERE ts = m"),
     "JOIN_3_interval_overlap": (lambda spark, d: _overlap(spark, d), "WITH i AS (SELECT o_custkey AS c, o_orderkey AS o, o_orderdate AS f, o_orderdate + INTERVAL 10 DAY AS u FROM orders) SELECT a.o AS x, b.o AS y FROM i a JOIN i b ON a.c = b.c AND a.o < b.o AND a.f < b.u AND b.f < a.u"),
     # sets
     "SET_1_union": (rules("q(N) :- snation(_, N). q(N) :- customer(_, N, building).", "q(N)", "snation customer"), "SELECT s_nationkey AS n FROM supplier UNION SELECT c_nationkey FROM customer WHERE c_mktsegment = 'building'"),
@@ -240,13 +262,13 @@ ENTRIES: dict[str, tuple[Query, str | None]] = {
     "AGG_5_empty_group": (rules("q(count(O)) :- orders(O, _, nowhere, _, _).", "q(N)", "orders"), "SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'nowhere' HAVING count(*) > 0"),
     "AGG_6_two_rules": (rules("q(N, count(S)) :- snation(S, N). q(N, count(C)) :- customer(C, N, _).", "q(N, C)", "snation customer"), "SELECT s_nationkey AS n, count(*) AS c FROM supplier GROUP BY 1 UNION SELECT c_nationkey, count(*) FROM customer GROUP BY 1"),
     "AGG_8_over_recursion": (rules(LINEAR + " q(S, count(D)) :- p(S, D).", "q(S, N)", "sup"), f"WITH RECURSIVE {PATHS} SELECT s, count(*) AS n FROM p GROUP BY 1"),
-    "AGG_9_recursive_min": (_recursive_min, f"WITH RECURSIVE {COST}, w AS (SELECT d, c FROM cost WHERE s = 7 UNION SELECT cost.d, greatest(w.c, cost.c) FROM w JOIN cost ON cost.s = w.d) SELECT d, min(c) AS c FROM w GROUP BY 1"),
+    "AGG_9_recursive_max": (_recursive_max, f"WITH RECURSIVE {PATHS} SELECT s, max(d) AS d FROM p GROUP BY 1"),
     # negation, constraints
     "NEG_1_unreached": (rules("r(D) :- sup(7, D). r(D) :- r(M), sup(M, D). u(S) :- supplier(S), not r(S).", "u(S)", "sup supplier"), f"WITH RECURSIVE {FROM_7} SELECT s_suppkey AS s FROM supplier WHERE s_suppkey NOT IN (SELECT d FROM r)"),
     "NEG_1_zero_arity": (rules("some :- sup(1, _). none :- sup(_, 0). q(R) :- region(R, _), not none.", "q(R)", "sup region"), "SELECT r_regionkey AS r FROM region"),
     "ICN_1_violations": (_violations, f"WITH {SUP} SELECT DISTINCT a.s AS x, a.d AS y, b.d AS z FROM sup a JOIN sup b ON a.d = b.s WHERE a.s > 50 AND b.d > 90"),
-    "WFS_3_win_true": (_win(0), f"WITH RECURSIVE {SUP}, n AS (SELECT s AS x FROM sup UNION SELECT d FROM sup), rk AS (SELECT x, 0 AS k FROM n UNION SELECT sup.s, rk.k + 1 FROM sup JOIN rk ON sup.d = rk.x), h AS (SELECT x, max(k) AS k FROM rk GROUP BY 1), w AS (SELECT -1 AS k, CAST([] AS BIGINT[]) AS won UNION ALL SELECT w.k + 1, list_concat(w.won, coalesce((SELECT list(DISTINCT sup.s) FROM sup JOIN h ON h.x = sup.s WHERE h.k = w.k + 1 AND NOT list_contains(w.won, sup.d)), CAST([] AS BIGINT[]))) FROM w WHERE w.k < (SELECT max(k) FROM h)) SELECT unnest(won) AS x FROM w WHERE k = (SELECT max(k) FROM h)"),
-    "WFS_3_win_undefined": (_win(1), "SELECT l_suppkey AS x FROM lineitem WHERE false"),
+    "WFS_3_win_true": (_win(0), f"{WINS} SELECT unnest(won) AS x FROM w WHERE k = 60"),
+    "WFS_3_win_undefined": (_win(1), f"{WINS} SELECT x FROM (SELECT unnest(alive) AS x, won FROM w WHERE k = 60) WHERE NOT list_contains(won, x)"),
     # annotated
     "SEM_1_bool": (_semiring("bool", LINEAR, "p", None, lambda v: v.select("s", "d")), _PATHS_SQL),
     "SEM_2_cheapest": (_semiring("minplus", LINEAR, "p", "c", lambda v: v.selectExpr("s", "d", "CAST(k AS BIGINT) AS c")), f"WITH RECURSIVE {COST}, p AS (SELECT s, d, c FROM cost UNION SELECT cost.s, p.d, cost.c + p.c FROM cost JOIN p ON cost.d = p.s) SELECT s, d, CAST(min(c) AS BIGINT) AS c FROM p GROUP BY 1, 2"),
@@ -325,7 +347,8 @@ def _stable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _slg(spark: SparkSession, d: str) -> DataFrame:
-    return _lower(SlgEngine(spark, "win(X) :- sup(X, Y), not win(Y). other(X) :- sup(_, X).", {"sup": sup(spark, d)}).query("win(X)")[0])
+    true, undefined = SlgEngine(spark, "win(X) :- hop(X, Y), not win(Y). other(X) :- hop(_, X).", {"hop": hop(spark, d)}).query("win(X)")
+    return _lower(true.withColumn("state", F.lit("true")).unionByName(undefined.withColumn("state", F.lit("undefined"))))
 
 
 def _why_sets(spark: SparkSession, d: str) -> DataFrame:
@@ -343,9 +366,15 @@ def _incremental_tables(spark: SparkSession, d: str) -> DataFrame:
     return _lower(e.query("p(0, D)"))
 
 
+def _magic_constraints(spark: SparkSession, d: str) -> DataFrame:
+    """MAG-3: what breaks a constraint, derived from the constraint alone."""
+    e = ENGINES["magic"](spark, LINEAR + " :- p(7, D), D > 50, not sup(7, D).", {"sup": sup(spark, d)})
+    return _lower(e.violations()[0][1])
+
+
 def _mixed_script(spark: SparkSession, d: str) -> DataFrame:
     """INC-4: deletions first, then insertions, from one script."""
-    m = Materialized(spark, LEFT + " sup(9000, 9001).", {"sup": sup(spark, d).where("s < 40")})
+    m = Materialized(spark, LEFT + " sup(9000, 9001).", {"sup": sup(spark, d)})
     m.apply("sup(9000, 9001)~. sup(9001, 1). sup(9002, 9001).")
     return m.relations["p"].toDF("s", "d")
 
@@ -394,8 +423,15 @@ ENTRIES |= {
     "SRC_11_chain_closure": (lambda spark, d: _lower(Engine(spark, "p(X, Y) :- e(X, Y). p(X, Z) :- e(X, Y), p(Y, Z).", {"e": chain(spark, 60)}).query("p(X, Y)")), _CHAIN_SQL),
     "REC_1_distributed_loop": (rules(LINEAR, "p(S, D)", "sup", small_rows=0), _PATHS_SQL),
     "TAB_3_updated_tables": (_incremental_tables, f"WITH RECURSIVE {SUP}, e AS (SELECT s, d FROM sup UNION SELECT 0, 7), r AS (SELECT d FROM e WHERE s = 0 UNION SELECT e.d FROM e JOIN r ON e.s = r.d) SELECT d FROM r"),
-    "INC_4_mixed_script": (_mixed_script, f"WITH RECURSIVE {SUP}, e AS (SELECT * FROM sup WHERE s < 40 UNION SELECT 9001, 1 UNION SELECT 9002, 9001), p AS (SELECT s, d FROM e UNION SELECT e.s, p.d FROM e JOIN p ON e.d = p.s) SELECT s, d FROM p"),
-    "SLG_1_win": (_slg, ENTRIES["WFS_3_win_true"][1]),
+    "INC_4_mixed_script": (_mixed_script, f"WITH RECURSIVE {SUP}, e AS (SELECT * FROM sup UNION SELECT 9001, 1 UNION SELECT 9002, 9001), p AS (SELECT s, d FROM e UNION SELECT e.s, p.d FROM e JOIN p ON e.d = p.s) SELECT s, d FROM p"),
+    "SLG_1_win": (_slg, f"{WINS} SELECT unnest(won) AS x, 'true' AS state FROM w WHERE k = 60 UNION ALL SELECT x, 'undefined' FROM (SELECT unnest(alive) AS x, won FROM w WHERE k = 60) WHERE NOT list_contains(won, x)"),
+    "MAG_3_magic_constraints": (_magic_constraints, f"WITH RECURSIVE {FROM_7} SELECT d FROM r WHERE d > 50 AND d NOT IN (SELECT d FROM sup WHERE s = 7)"),
+    "REC_3_reach_left_distributed": (rules(LEFT, "p(S, D)", "sup", small_rows=0), _PATHS_SQL),
+    "REC_4_reach_nonlinear_distributed": (rules(TWICE, "p(S, D)", "sup", small_rows=0), _PATHS_SQL),
+    "REC_5_odd_even_distributed": (rules(ODD_EVEN, "even(X, Y)", "sup", small_rows=0), ENTRIES["REC_5_odd_even"][1]),
+    "REC_6_same_generation_distributed": (rules(SAME, "sg(X, Y)", "sup", small_rows=0), ENTRIES["REC_6_same_generation"][1]),
+    "MAG_2_reach_magic_distributed": (rules(LINEAR, "p(7, D)", "sup", "magic", small_rows=0), _FROM_7_SQL),
+    "AGG_8_over_recursion_distributed": (rules(LINEAR + " q(S, count(D)) :- p(S, D).", "q(S, N)", "sup", small_rows=0), ENTRIES["AGG_8_over_recursion"][1]),
     "SEM_5_why": (_why_sets, f"WITH RECURSIVE {CONTAINS} SELECT x, y, 'c(' || x || ', ' || y || ')' AS w FROM contains UNION ALL SELECT a.x, b.y, 'c(' || b.x || ', ' || b.y || ') c(' || a.x || ', ' || a.y || ')' FROM contains a JOIN contains b ON a.y = b.x"),
     "CHS_1_chase": (_chase, "SELECT 'n' || n_nationkey AS n, CASE WHEN n_regionkey = 1 THEN 'p' ELSE '?' END AS p FROM nation"),
     "ONT_4_classify": (_ontology, "SELECT 'n' || n_nationkey AS x, 'r' || n_regionkey AS y FROM nation UNION ALL SELECT 'n' || n_nationkey, 'world' FROM nation UNION ALL SELECT 'r' || r_regionkey, 'world' FROM region"),

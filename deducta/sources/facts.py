@@ -6,9 +6,10 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +44,10 @@ def python_facts(facts: Mapping[str, Iterable]) -> list[Rule]:
 
 
 def relation(df: DataFrame, checked: bool = False) -> DataFrame:
-    """A DataFrame as a relation: dates as ISO text, booleans as text, distinct rows without nulls.
+    """A DataFrame as a relation: dates as ISO text, booleans as text, distinct rows.
 
+    A null is no value and is refused.  Columns that the plan knows to hold none, for instance after
+    ``where("x IS NOT NULL")``, are not looked at; others cost a job, which Parquet's statistics make short.
     checked: fail on strings and numbers that the language could not print.
     """
     columns = []
@@ -64,7 +67,11 @@ def relation(df: DataFrame, checked: bool = False) -> DataFrame:
         columns.append(x.alias(c))
     if not columns:
         raise DatalogError(f"a relation needs a column; for none, give {UNIT}")
-    return df.select(*columns).dropna().distinct()
+    rows = df.select(*columns)
+    nullable = [f.name for f in rows.schema if f.nullable]
+    if nullable and not rows.where(reduce(Column.__or__, (F.col(c).isNull() for c in nullable))).isEmpty():
+        raise DatalogError(f"a relation of columns {', '.join(df.columns)} holds a null; drop such rows before")
+    return rows.distinct()
 
 
 def read_program(path: str) -> str:
