@@ -15,16 +15,16 @@ from .plans.ast import Atom, Const, DatalogError, Literal, Rule, Var
 from .plans.compiler import UNIT, Relations, body, name, scan
 from .plans.magic import demand
 from .plans.parser import parse, parse_goal
-from .sources.facts import python_facts, relation
+from .sources.facts import WithoutNulls, python_facts, relation
 
-Facts = Mapping[str, DataFrame | Iterable]
+Facts = Mapping[str, DataFrame | WithoutNulls | Iterable]
 
 
 def split_facts(facts: Facts | None) -> tuple[list[Rule], Relations]:
     """Stated facts and external relations of a mapping of rows or DataFrames."""
     rows, frames = {}, {}
     for p, x in (facts or {}).items():
-        (frames if isinstance(x, DataFrame) else rows)[p] = x
+        (frames if isinstance(x, DataFrame | WithoutNulls) else rows)[p] = x
     return python_facts(rows), {p: relation(d) for p, d in frames.items()}
 
 

@@ -29,7 +29,7 @@ from .operators.semiring import SemiringEngine
 from .operators.wellfounded import well_founded
 from .plans.ast import format_fact
 from .plans.parser import parse
-from .sources.facts import chain, relation
+from .sources.facts import WithoutNulls, chain, relation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,10 +87,11 @@ _TABLES = {
 _MADE = {"sup": sup, "cost": sup_cost, "turn": turn, "step": step, "contains": contains}
 
 
-def _facts(spark: SparkSession, d: str, names: str) -> dict[str, DataFrame]:
+def _facts(spark: SparkSession, d: str, names: str) -> dict[str, WithoutNulls]:
+    """All are read by ``_table``, which leaves nulls out."""
     out = {}
     for n in names.split():
-        out[n] = _MADE[n](spark, d) if n in _MADE else _table(spark, d, *_TABLES[n])
+        out[n] = WithoutNulls(_MADE[n](spark, d) if n in _MADE else _table(spark, d, *_TABLES[n]))
     return out
 
 

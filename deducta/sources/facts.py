@@ -8,6 +8,7 @@ import unicodedata
 from collections.abc import Iterable, Mapping
 from functools import reduce
 from pathlib import Path
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,13 +44,21 @@ def python_facts(facts: Mapping[str, Iterable]) -> list[Rule]:
     return list(dict.fromkeys(out))
 
 
-def relation(df: DataFrame, checked: bool = False) -> DataFrame:
+class WithoutNulls(NamedTuple):
+    """Rows from which those with nulls were already left out, so that nothing looks for them again."""
+
+    rows: DataFrame
+
+
+def relation(df: DataFrame | WithoutNulls, checked: bool = False) -> DataFrame:
     """A DataFrame as a relation: dates as ISO text, booleans as text, distinct rows.
 
-    A null is no value and is refused.  Columns that the plan knows to hold none, for instance after
-    ``where("x IS NOT NULL")``, are not looked at; others cost a job, which Parquet's statistics make short.
+    A null is no value and is refused.  Looking for one costs a job, unless the schema or ``WithoutNulls`` says
+    that there is none.
     checked: fail on strings and numbers that the language could not print.
     """
+    known = isinstance(df, WithoutNulls)
+    df = df.rows if known else df
     columns = []
     for field, c in zip(df.schema, columns_of(len(df.columns)), strict=True):
         kind, x = field.dataType, F.col(f"`{field.name}`")
@@ -68,7 +77,7 @@ def relation(df: DataFrame, checked: bool = False) -> DataFrame:
     if not columns:
         raise DatalogError(f"a relation needs a column; for none, give {UNIT}")
     rows = df.select(*columns)
-    nullable = [f.name for f in rows.schema if f.nullable]
+    nullable = [f.name for f in rows.schema if f.nullable and not known]
     if nullable and not rows.where(reduce(Column.__or__, (F.col(c).isNull() for c in nullable))).isEmpty():
         raise DatalogError(f"a relation of columns {', '.join(df.columns)} holds a null; drop such rows before")
     return rows.distinct()
