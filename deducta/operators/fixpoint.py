@@ -76,6 +76,7 @@ class Fixpoint:
         self.spark, self.program, self.naive, self.negated, self.doubling = spark, program, naive, negated, doubling
         self.small_rows = (SMALL_ROWS if small_rows is None else small_rows) if not naive and not negated else 0
         self.held: dict[str, list[tuple] | None] = {}  # rows of relations known to be small; None: not small
+        self.plans: set[str] = set()  # input relations that are still plans over their source
         self.relations: Relations = {}
         self.log: list[tuple[tuple[str, ...], int, int]] = []
         stated: dict[str, list[tuple]] = {}
@@ -85,6 +86,7 @@ class Fixpoint:
             parts = [facts_frame(spark, stated[pred], n)] if pred in stated else []
             if pred in external:
                 parts.append(external[pred].toDF(*columns_of(n)).distinct())
+                self.plans.add(pred)
             if parts:
                 self.relations[pred] = parts[0] if len(parts) == 1 else union(parts).distinct()
             if pred not in external and pred not in program.derived and n:
@@ -172,12 +174,19 @@ class Fixpoint:
                 rows = parts[0] if len(parts) == 1 else union(parts).distinct()
                 self.relations[p] = cut(rows) if self._read_again(p) else rows
             return
+        self._store({x.atom.pred for r in recursive for x in r.body if not x.atom.comparison} - inside)
         if self.doubling and not self.naive and not stated and len(group) == 1:
             rules = closure_doubled(rules)
             recursive = [r for r in rules if any(x.atom.pred in inside for x in r.positive)]
         self._seed(group, start, stated, recursive)
         (self._naive if self.naive else self._delta)(group, start, recursive)
 
+    def _store(self, preds: set[str]) -> None:
+        """Inputs that every round reads are derived from their source once."""
+        for p in sorted(preds & self.plans):
+            self.relations[p] = cut(self.relations[p])
+            self.plans.discard(p)
+
     def _read_again(self, pred: str) -> bool:
         """Whether rules read the predicate several times, or in a loop; if not, it stays a plan that Catalyst
         can prune and push filters into."""

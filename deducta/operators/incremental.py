@@ -9,7 +9,7 @@ from ..plans.ast import DatalogError, Program, Rule, aggregate_of
 from ..plans.compiler import Relations, columns_of, derive
 from ..plans.parser import parse
 from ..sources.facts import relation
-from .fixpoint import Fixpoint, cut, union
+from .fixpoint import COMPACT, Fixpoint, cut, union
 
 
 class Materialized:
@@ -24,6 +24,8 @@ class Materialized:
         self.program = analyse(clauses, {p: len(d.columns) for p, d in external.items()})
         run = Fixpoint(spark, self.program, external)
         self.base: Relations = {p: cut(d) for p, d in run.relations.items()}
+        run.relations = dict(self.base)
+        run.plans.clear()
         self.relations = run.run()
         for p in self.program.arity:
             self.base.setdefault(p, self.relations[p].limit(0))
@@ -39,7 +41,9 @@ class Materialized:
     def _spread(self, delta: Relations, into: Relations, known: Relations, keep: Relations | None = None) -> Relations:
         """All rows that follow from the delta by rules over ``known`` and are not in ``into`` yet."""
         found: Relations = {}
+        turn = 0
         while delta:
+            turn += 1
             new: Relations = {}
             for r in self.program.rules:
                 parts = [derive(r, known, {k: delta[x.atom.pred]}) for k, x in enumerate(r.body) if not x.atom.comparison and x.atom.pred in delta]
@@ -56,8 +60,8 @@ class Materialized:
                     delta[p] = fresh
                     found[p] = fresh if p not in found else found[p].union(fresh)
                     into[p] = into[p].union(fresh)
-                    if keep is None or known is into:
-                        known[p] = into[p] if known is into else known[p]
+                    if turn % COMPACT == 0:
+                        into[p] = cut(into[p].coalesce(int(self.spark.conf.get("spark.sql.shuffle.partitions"))))
         return found
 
     def insert(self, rows: dict[str, DataFrame] | str) -> dict[str, int]:

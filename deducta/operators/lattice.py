@@ -75,6 +75,7 @@ def best(spark: SparkSession, clauses: list[Rule], external: Relations | None =
     rules = [c for c in clauses if c.body and c.head]
     relations: Relations = {p: d.toDF(*columns_of(arity[p])).distinct() for p, d in external.items()}
     facts = [c for c in clauses if c.head and not c.body]
+    plans = set(external)
     for group in components(dependencies(rules)):
         own = [r for r in rules if r.head.pred in group]
         if not own and not any(f.head.pred in group for f in facts):
@@ -85,6 +86,9 @@ def best(spark: SparkSession, clauses: list[Rule], external: Relations | None =
             continue
         if any(f.head.pred in group for f in facts):
             raise DatalogError(f"state facts of {group[0]} through a rule")
+        for p in sorted(plans & {x.atom.pred for r in own for x in r.body}):
+            relations[p] = cut(relations[p])  # every round reads it
+            plans.discard(p)
         relations |= _improve(group, own, found, relations, max_rounds)
     return relations
 

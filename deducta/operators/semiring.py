@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.ast import Atom, Const, DatalogError, Rule, Struct, format_fact
 from ..plans.analysis import analyse
 from ..plans.compiler import columns_of, compare, facts_frame, name
-from .fixpoint import cut, union
+from .fixpoint import COMPACT, cut, union
 
 K = "_k"
 
@@ -24,6 +24,7 @@ class Semiring:
     name = "abstract"
     sql_type = "double"
     divergence = "its values keep changing"
+    idempotent = False  # whether a + a = a: if so, rounds go on from what changed
 
     def plus(self, k: Column) -> Column:
         """An aggregate over the alternatives of one row."""
@@ -45,7 +46,7 @@ class Semiring:
 
 
 class Boolean(Semiring):
-    name, sql_type = "bool", "boolean"
+    name, sql_type, idempotent = "bool", "boolean", True
 
     def plus(self, k):
         return F.bool_or(k)
@@ -63,7 +64,7 @@ class Boolean(Semiring):
 class MinPlus(Semiring):
     """Cheapest derivation."""
 
-    name, divergence = "minplus", "a cycle of negative weight lowers it for ever"
+    name, divergence, idempotent = "minplus", "a cycle of negative weight lowers it for ever", True
 
     def plus(self, k):
         return F.min(k)
@@ -93,7 +94,7 @@ class Count(Semiring):
 class Viterbi(Semiring):
     """Likeliest derivation."""
 
-    name = "viterbi"
+    name, idempotent = "viterbi", True
 
     def plus(self, k):
         return F.max(k)
@@ -112,7 +113,7 @@ class Viterbi(Semiring):
 class Why(Semiring):
     """Minimal sets of facts that suffice."""
 
-    name, sql_type = "why", "array<array<string>>"
+    name, sql_type, idempotent = "why", "array<array<string>>", True
 
     @staticmethod
     def _minimal(sets: Column) -> Column:
@@ -140,8 +141,9 @@ class SemiringEngine:
     """Kleene iteration of positive rules over annotated relations.
 
     facts: DataFrames whose last column ``_w`` is the weight (null or absent: none).  Values of equal
-    rows add.  For idempotent sums, rounds are bounded by the rows derived; a count over cyclic data,
-    or a negative cycle, is reported once values still change after as many rounds as there are rows.
+    rows add.  Where sums are idempotent, a round joins what the last one changed, and known values are kept
+    as pieces that add up; else a round starts from all values.  A count over cyclic data, or a negative
+    cycle, is reported once values still change after more rounds than there are rows.
     """
 
     def __init__(self, spark: SparkSession, clauses: list[Rule], semiring: Semiring | str, facts: dict[str, DataFrame] | None = None, max_rounds: int = 200):
@@ -150,8 +152,11 @@ class SemiringEngine:
         if any(r.negative or r.constraint or any(isinstance(a, Struct) for a in r.head.args) for r in clauses):
             raise DatalogError("annotated evaluation takes neither negation nor aggregates nor constraints")
         external = facts or {}
+        self._external = set(external)
         self.program = analyse(clauses, {p: len([c for c in d.columns if c != "_w"]) for p, d in external.items()})
         self.base = {p: self._stated(p, external.get(p)) for p in self.program.arity}
+        looped = {p for p in external for r in self.program.rules if any(x.atom.pred == p for x in r.positive) and self._loops(r)}
+        self.base |= {p: cut(self.base[p]) for p in looped}
 
     def _stated(self, pred: str, df: DataFrame | None) -> DataFrame:
         arity = self.program.arity[pred]
@@ -181,13 +186,18 @@ class SemiringEngine:
         rows = union(parts).withColumn(K, self.s.fact(F.col("_w"), F.col("_t")))
         return rows.groupBy(*names).agg(self.s.plus(F.col(K)).alias(K))
 
-    def _body(self, rule: Rule, values: dict[str, DataFrame]) -> DataFrame:
-        frame, bound = None, set()
-        todo, tests, at = list(rule.positive), list(rule.comparisons), 0
+    def _loops(self, rule: Rule) -> bool:
+        home = next(g for g in self.program.components if rule.head.pred in g)
+        return any(x.atom.pred in home for x in rule.positive)
+
+    def _body(self, rule: Rule, values: dict[str, DataFrame], delta: dict[int, DataFrame] | None = None) -> DataFrame:
+        """Solutions of the body; ``delta`` replaces relations of positive literals by their place, and is joined first."""
+        frame, bound, delta = None, set(), delta or {}
+        todo, tests, at = sorted(enumerate(rule.positive), key=lambda kx: kx[0] not in delta), list(rule.comparisons), 0
         while todo:
-            j = next((j for j, x in enumerate(todo) if frame is None or bound & set(x.atom.variables)), 0)
-            x = todo.pop(j)
-            rel = values[x.atom.pred]
+            j = next((j for j, (_, x) in enumerate(todo) if frame is None or bound & set(x.atom.variables)), 0)
+            k, x = todo.pop(j)
+            rel = delta.get(k, values[x.atom.pred])
             marked = Atom(x.atom.pred, x.atom.args)
             rows = self._scan(marked, rel, f"_k{at}")
             if frame is None:
@@ -221,19 +231,70 @@ class SemiringEngine:
             parts = [self.base[p]] if self._has_base(p) else []
             for r in rules:
                 if r.head.pred == p and all(x.atom.pred in values for x in r.positive):
-                    head = [(F.lit(a.value) if isinstance(a, Const) else F.col(name(a))).alias(c) for a, c in zip(r.head.args, names, strict=False)] or [F.lit(1).alias(names[0])]
-                    parts.append(self._body(r, values).select(*head, K))
+                    parts.append(self._heads(r, values))
             if parts:
                 rows = union(parts).groupBy(*names).agg(self.s.plus(F.col(K)).alias(K)).where(self.s.keep(F.col(K)))
                 out[p] = cut(rows)
         return out
 
+    def _heads(self, rule: Rule, values: dict[str, DataFrame], delta: dict[int, DataFrame] | None = None) -> DataFrame:
+        names = columns_of(self.program.arity[rule.head.pred])
+        head = [(F.lit(a.value) if isinstance(a, Const) else F.col(name(a))).alias(c) for a, c in zip(rule.head.args, names, strict=False)] or [F.lit(1).alias(names[0])]
+        return self._body(rule, values, delta).select(*head, K)
+
+    def _total(self, pieces: DataFrame, p: str) -> DataFrame:
+        return pieces.groupBy(*columns_of(self.program.arity[p])).agg(self.s.plus(F.col(K)).alias(K))
+
+    def _improved(self, found: DataFrame, known: DataFrame | None, p: str) -> DataFrame:
+        """Rows whose value the found alternatives change, with the new value: one shuffle of known and found."""
+        found = found.where(self.s.keep(F.col(K)))
+        if known is None:
+            return cut(self._total(found, p))
+        names = columns_of(self.program.arity[p])
+        both = known.withColumn("_old", F.lit(True)).union(found.withColumn("_old", F.lit(False)))
+        sums = both.groupBy(*names).agg(self.s.plus(F.col(K)).alias("_new"), self.s.plus(F.when(F.col("_old"), F.col(K))).alias("_before"), F.bool_or("_old").alias("_was"))
+        return cut(sums.where(~F.col("_was") | ~F.col("_new").eqNullSafe(F.col("_before"))).select(*names, F.col("_new").alias(K)))
+
+    def _from_changes(self, values: dict[str, DataFrame], group: list[str], rules: list[Rule]) -> dict[str, DataFrame]:
+        """The component's values by rounds over what changed; sums are idempotent, so pieces of old values do no harm."""
+        delta = self._round(values, group, [r for r in rules if not self._loops(r)])
+        pieces, turn = dict(delta), 0
+        while delta:
+            turn += 1
+            reading = {**values, **{p: self._total(d, p) for p, d in pieces.items()}}
+            new = {}
+            for p in group:
+                parts = [
+                    self._heads(r, reading, {k: delta[x.atom.pred]})
+                    for r in rules
+                    if r.head.pred == p and all(x.atom.pred in reading for x in r.positive)
+                    for k, x in enumerate(r.positive)
+                    if x.atom.pred in delta
+                ]
+                if parts:
+                    changed = self._improved(union(parts), pieces.get(p), p)
+                    if not changed.isEmpty():
+                        new[p] = changed
+            for p, d in new.items():
+                pieces[p] = pieces[p].union(d) if p in pieces else d
+            if turn % COMPACT == 0:
+                pieces |= {p: cut(self._total(d, p)) for p, d in pieces.items()}
+                if new and turn > sum(d.count() for d in pieces.values()) + 1:
+                    self._diverges(group)
+            if new and turn > self.max_rounds:
+                self._diverges(group)
+            delta = new
+        return {p: cut(self._total(d, p)) for p, d in pieces.items()}
+
+    def _diverges(self, group: list[str]) -> None:
+        raise DatalogError(f"{group[0]} has no value under {self.s.name}: {self.s.divergence}")
+
     def _has_base(self, p: str) -> bool:
         return p in self._stated_preds
 
     def run(self) -> dict[str, DataFrame]:
         derived = self.program.derived
-        self._stated_preds = {f.head.pred for f in self.program.facts} | {p for p, d in self.base.items() if p not in derived}
+        self._stated_preds = {f.head.pred for f in self.program.facts} | {p for p in self.base if p not in derived} | self._external
         values = {p: d for p, d in self.base.items() if p not in derived}
         rules = list(dict.fromkeys(self.program.rules))
         for group in self.program.components:
@@ -241,6 +302,10 @@ class SemiringEngine:
             if not own:
                 continue
             loop = any(x.atom.pred in group for r in own for x in r.positive)
+            if loop and self.s.idempotent:
+                now = self._from_changes(values, group, own)
+                values |= {p: now.get(p, self.base[p]) for p in group}
+                continue
             now: dict[str, DataFrame] = {}
             turn = 0
             while True:
@@ -251,7 +316,7 @@ class SemiringEngine:
                 if done:
                     break
                 if turn > min(self.max_rounds, sum(d.count() for d in now.values()) + 1):
-                    raise DatalogError(f"{group[0]} has no value under {self.s.name}: {self.s.divergence}")
+                    self._diverges(group)
             for p in group:
                 values[p] = now.get(p, self.base[p])
         return values

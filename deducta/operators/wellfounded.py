@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from ..plans.analysis import analyse, components, dependencies
 from ..plans.ast import DatalogError, Rule, aggregate_of
 from ..plans.compiler import Relations
-from .fixpoint import Fixpoint
+from .fixpoint import Fixpoint, cut
 
 
 def well_founded(spark: SparkSession, clauses: list[Rule], external: Relations | None = None) -> tuple[Relations, Relations]:
@@ -16,7 +16,7 @@ def well_founded(spark: SparkSession, clauses: list[Rule], external: Relations |
     ``not p`` reads a fixed relation in each inner fixpoint: under what surely holds, more than the
     truth is derived; under that, less; the two are repeated until the true rows stay.
     """
-    external = external or {}
+    external = {p: cut(d) for p, d in (external or {}).items()}  # every inner fixpoint reads them
     if any(c.head and aggregate_of(c.head) for c in clauses if c.body):
         raise DatalogError("aggregates have no well-founded meaning here")
     program = analyse([c for c in clauses if c.head], {p: len(d.columns) for p, d in external.items()}, stratified=False)
