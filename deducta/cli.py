@@ -57,6 +57,8 @@ def datalog(a: argparse.Namespace) -> int:
             for rule, literal, values in explain.why_not(model, pred, row):
                 print(f"{rule}  stops at {literal or 'its head'} with {values}")
         return 0
+    if a.trace and a.engine == "slg":
+        raise DatalogError("slg keeps no trace")
     engine = ENGINES[a.engine](_session(), clauses)
     if a.engine == "slg" or (a.query and a.engine != "slg"):
         if not a.query:
@@ -72,6 +74,9 @@ def datalog(a: argparse.Namespace) -> int:
             if p in engine.program.derived or a.all:
                 rows = [tuple(r) if engine.program.arity[p] else () for r in engine.relation(p).collect()]
                 _show(p, rows, "derived" if p in engine.program.derived else "input")
+    if a.trace:
+        for preds, turn, n in engine.log:
+            print(f"% {', '.join(preds)}: " + (f"round {turn}, {n} grew" if turn else f"in memory, {n} rows"), file=sys.stderr)
     if a.engine == "slg":
         return 0
     bad = [(c, d.collect()) for c, d in engine.violations()] if not engine.goal_directed else []
@@ -196,7 +201,7 @@ def main(argv: list[str] | None = None) -> int:
         p.set_defaults(run=run)
 
     query = ("-q --query", {})
-    tool("datalog", datalog, query, ("-a --all", {"action": "store_true"}), ("-e --explain", {}), ("-M --models", {"action": "store_true"}), ("--assume", {}), ("--engine", {"default": "seminaive", "choices": ["seminaive", "naive", "magic", "tabling", "slg"]}))
+    tool("datalog", datalog, query, ("-a --all", {"action": "store_true"}), ("-e --explain", {}), ("-M --models", {"action": "store_true"}), ("--assume", {}), ("-t --trace", {"action": "store_true"}), ("--engine", {"default": "seminaive", "choices": ["seminaive", "naive", "magic", "tabling", "slg"]}))
     tool("chase", run_chase, ("--variant", {"default": "restricted"}), ("--max-nulls", {"type": int, "default": 1000}), ("--certain", {"action": "store_true"}))
     tool("containment", run_contains)
     tool("defeasible", run_defeasible, ("--propagate", {"action": "store_true"}))
