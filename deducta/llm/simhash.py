@@ -171,9 +171,9 @@ def close_pairs(prints: np.ndarray, last: np.ndarray, radius: int = RADIUS) -> I
             yield i, i + d
 
 
-def _forest(prints: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the close pairs."""
-    root = np.arange(len(prints))
+def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of n rows."""
+    root = np.arange(n)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -182,7 +182,7 @@ def _forest(prints: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    for i, j in close_pairs(prints, last):
+    for i, j in pairs:
         open_ = root[i] != root[j]
         for a, b in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
             x, y = find(a), find(b)
@@ -205,7 +205,7 @@ def _bucket_links(prints: np.ndarray, names: np.ndarray, sizes: np.ndarray) -> t
         size = sizes[chosen]
         rows = np.repeat(ends[chosen] - np.cumsum(size), size) + np.arange(size.sum())
         last = np.repeat(np.cumsum(size) - 1, size)
-        for i, j in _forest(prints[rows], last):
+        for i, j in _forest(close_pairs(prints[rows], last), len(rows)):
             a.append(int(names[rows[i]]))
             b.append(int(names[rows[j]]))
     return a, b
@@ -299,17 +299,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return join_counted(prints, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---------------------------------------------------------------- near copies by exact resemblance
+# ---------------------------------------------------------------- near copies: wide fingerprints, then whole sets
 
 COPY_WORDS = 5
-LEAST_BITS = 512
-PARTS = 8
+COPY_BITS = 256
+COPY_RADIUS = 104
 SPREAD = 16  # one text in so many is looked at for common shingles
 COMMON = 4  # as often among those: common
 MOST_COMMON = 100_000
 NODES = 1_000_000  # text hashes that are sent to every executor, or remembered by a task, at most
-_TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_BACK = np.array([pow(int(x), -1, 1 << 64) for x in _TURNS], np.uint64)
+TOGETHER = 64  # rows of a bucket that is compared together with others
+HELD = 1 << 22  # shingles that a task holds for a bucket, about
 
 
 def shingle_set(text: bytes, size: int = COPY_WORDS) -> np.ndarray:
@@ -318,6 +318,116 @@ def shingle_set(text: bytes, size: int = COPY_WORDS) -> np.ndarray:
     return found if len(found) else np.zeros(1, np.uint64)
 
 
+def wide_print(found: np.ndarray) -> np.ndarray:
+    """SimHash of ``COPY_BITS`` bits: those of every hash and of further mixes of it; a bit is 1 if it is set in over half."""
+    ones = np.zeros(COPY_BITS, np.int64)
+    for at in range(0, len(found), 4096):
+        x = found[at : at + 4096]
+        streams = np.empty((len(x), COPY_BITS // 64), "<u8")
+        for k in range(streams.shape[1]):
+            streams[:, k] = x
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+        bits = np.unpackbits(streams.view(np.uint8), axis=1, bitorder="little")
+        ones += (np.ones(len(bits), np.float32) @ bits.astype(np.float32)).astype(np.int64)
+    return np.packbits(ones * 2 > len(found), bitorder="little").view("<u8")
+
+
+def _adder(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
+
+
+def _near_words(differ: Callable[[int, np.ndarray], np.ndarray], alive: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of 64 pairs and their flags, where those within the radius are left.
+
+    ``differ`` gives eight planes of differing bits at a time for the words that are left.  Carry-save counters begin so
+    that they overflow beyond the radius; a word is abandoned when all of its pairs have overflown.
+    """
+    k = max(3, radius.bit_length())
+    cells = np.arange(len(alive))
+    count = [np.full(len(alive), np.uint64((1 << 64) - 1) * np.uint64(((1 << k) - 1 - radius) >> j & 1)) for j in range(k)]
+    for p in range(0, bits, 8):
+        x = differ(p, cells)
+        ones, a = _adder(count[0], x[0], x[1])
+        ones, b = _adder(ones, x[2], x[3])
+        ones, c = _adder(ones, x[4], x[5])
+        ones, d = _adder(ones, x[6], x[7])
+        twos, e = _adder(count[1], a, b)
+        twos, f = _adder(twos, c, d)
+        fours, carry = _adder(count[2], e, f)
+        count[:3] = ones, twos, fours
+        for j in range(3, k):
+            count[j], carry = count[j] ^ carry, count[j] & carry
+        alive = alive & ~carry
+        keep = np.flatnonzero(alive)
+        if 4 * len(keep) < 3 * len(alive):
+            cells, alive, count = cells[keep], alive[keep], [c[keep] for c in count]
+        if not len(alive):
+            break
+    return cells, alive
+
+
+def _wide_planes(prints: np.ndarray) -> np.ndarray:
+    """Row b holds bit b of 64 fingerprints a word."""
+    return np.concatenate([_planes(np.ascontiguousarray(prints[:, k])) for k in range(prints.shape[1])])
+
+
+def wide_close_pairs(prints: np.ndarray, last: np.ndarray, radius: int = COPY_RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``close_pairs`` for fingerprints of several words, a row each, and any radius."""
+    rows = np.arange(len(prints))
+    planes = np.concatenate([_wide_planes(prints), np.zeros((64 * prints.shape[1], 1), np.uint64)], axis=1)
+    for d in range(1, int((last - rows).max(initial=0)) + 1):
+        valid = _pack(last - rows >= d)
+        at = np.flatnonzero(valid)
+        q, r = divmod(d, 64)
+        low, high = (np.minimum(at + q + k, planes.shape[1] - 1) for k in (0, 1))
+
+        def differ(p: int, cells: np.ndarray) -> np.ndarray:
+            x = planes[p : p + 8, low[cells]]  # noqa: B023
+            if r:  # noqa: B023
+                x = (x >> np.uint64(r)) | (planes[p : p + 8, high[cells]] << np.uint64(64 - r))  # noqa: B023
+            return x ^ planes[p : p + 8, at[cells]]  # noqa: B023
+
+        cells, left = _near_words(differ, valid[at], len(planes), radius)
+        word, bit = np.nonzero(np.unpackbits(left.view(np.uint8).reshape(len(left), 8), axis=1, bitorder="little"))
+        i = at[cells[word]] * 64 + bit
+        yield i, i + d
+
+
+def wide_close_to(some: np.ndarray, prints: np.ndarray, radius: int = COPY_RADIUS) -> np.ndarray:
+    """Which of ``prints`` (columns) are within the radius of each of ``some`` (rows)."""
+    planes = _wide_planes(prints)
+    words = planes.shape[1]
+    own = np.unpackbits(np.ascontiguousarray(some).astype("<u8").view(np.uint8), axis=1, bitorder="little").T.astype(np.uint64) * np.uint64((1 << 64) - 1)
+    cells, left = _near_words(lambda p, c: planes[p : p + 8, c % words] ^ own[p : p + 8, c // words], np.tile(_pack(np.ones(len(prints), bool)), len(some)), len(planes), radius)
+    flags = np.zeros(words * len(some), np.uint64)
+    flags[cells] = left
+    return np.unpackbits(flags.view(np.uint8).reshape(len(some), words * 8), axis=1, bitorder="little")[:, : len(prints)].astype(bool)
+
+
+class _Seen:
+    """Which texts a task has linked, so that it sends no link twice; forgets when it knows too many."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def _top(self, x: int) -> int:
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def new(self, a: int, b: int) -> bool:
+        if len(self.up) >= NODES:
+            self.up.clear()
+        x, y = self._top(a), self._top(b)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes]]:
     """(node, text) once a node and task, as far as nodes are remembered."""
     seen: set[int] = set()
@@ -330,6 +440,19 @@ def _distinct_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, by
                 yield node, text.as_buffer().to_pybytes()
 
 
+def _once_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with another node (first column) than the task's earlier ones, as far as nodes are remembered."""
+    seen: set[int] = set()
+    for batch in batches:
+        keep = []
+        for node in batch.column(0).to_pylist():
+            if len(seen) >= NODES:
+                seen.clear()
+            keep.append(node not in seen)
+            seen.add(node)
+        yield batch.filter(pa.array(keep, pa.bool_()))
+
+
 def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     for _, text in _distinct_texts(batches):
@@ -341,39 +464,12 @@ def _shingle_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64))], ["s"])
 
 
-def _sketch(found: np.ndarray) -> bytes:
-    """How often, odd or even, each bit is meant: sketches differ in no more bits than the sets in elements.
-
-    There are as many bits as elements or up to twice as many; halves of a sketch fold to a smaller one.
-    """
-    size = max(LEAST_BITS, 1 << (len(found) - 1).bit_length())
-    odd = np.bincount((found % np.uint64(size)).astype(np.int64), minlength=size) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _may_be_alike(n: int, m: int, a: bytes, b: bytes) -> bool:
-    if 5 * min(n, m) < 4 * max(n, m):
-        return False
-    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return 9 * int(np.bitwise_count(x ^ y).sum(dtype=np.int64)) <= n + m
-
-
-def _fold(bits: bytes) -> bytes:
-    """The sketch of ``LEAST_BITS`` bits."""
-    x = np.frombuffer(bits, np.uint64)
-    while len(x) * 64 > LEAST_BITS:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x.tobytes()
-
-
-def _sketch_batches(common: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each set's size, sketch, and first elements: a fifth of it and one more, common shingles last, by how often they occur."""
-    types = {"node": pa.int64(), "n": pa.int64(), "bits": pa.binary(), "fold": pa.binary(), "firsts": pa.binary()}
+def _print_batches(common: np.ndarray, counts: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each set's size, fingerprint, and first elements: a fifth of it and one more, common shingles last, by how often they occur."""
+    types = {"node": pa.int64(), "n": pa.int64(), "print": pa.binary(), "firsts": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes, bytes, bytes]] = []
+        held: list[tuple[int, int, bytes, bytes]] = []
 
         def rows() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types.values(), strict=True)], list(types))
@@ -383,8 +479,7 @@ def _sketch_batches(common: np.ndarray, counts: np.ndarray) -> Callable[[Iterato
             if len(common):
                 place = np.minimum(np.searchsorted(common, found), len(common) - 1)
                 ordered = found[np.argsort(np.where(common[place] == found, counts[place], 0), kind="stable")]
-            bits = _sketch(found)
-            held.append((node, len(found), bits, _fold(bits), ordered[: len(found) // 5 + 1].tobytes()))
+            held.append((node, len(found), wide_print(found).tobytes(), ordered[: len(found) // 5 + 1].tobytes()))
             if len(held) == 256:
                 yield rows()
                 held = []
@@ -398,30 +493,25 @@ def _first_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            firsts = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)]
-            sizes = [len(x) for x in firsts]
-            columns = [np.concatenate(firsts), *(np.repeat(part.column(k).to_numpy(), sizes) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["s", "node", "n"])
+            firsts = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+            columns = [np.concatenate(firsts), np.repeat(part.column(0).to_numpy(), [len(x) for x in firsts])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "node"])
 
 
 def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle and node: those whose shingle other nodes have too, with one node of each shingle."""
+    """Rows sorted by shingle and node: those whose shingle other nodes have too."""
     held: tuple[np.ndarray, ...] | None = None
 
     def shared(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        s, node, n = part
+        s, node = part
         new = np.concatenate([[True], (s[1:] != s[:-1]) | (node[1:] != node[:-1])])
-        s, node, n = s[new], node[new], n[new]
-        begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        sizes = np.diff(np.append(begin, len(s)))
-        turn = (s.view(np.uint64) % np.uint64(len(_TURNS))).astype(np.int64)
-        least = np.minimum.reduceat(node.view(np.uint64) * _TURNS[turn], begin)
-        hub = np.repeat((least * _BACK[turn[begin]]).view(np.int64), sizes)
+        s, node = s[new], node[new]
+        sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s)))
         many = np.repeat(sizes > 1, sizes)
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (s, node, n, hub)], ["s", "node", "n", "hub"])
+        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (s, node)], ["key", "node"])
 
     for batch in batches:
-        new = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        new = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
         part = new if held is None else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
         if not len(part[0]):
             continue
@@ -433,102 +523,172 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield shared(held)
 
 
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, part, size of the whole set, shingles): each set in ``PARTS`` parts, which keeps rows short."""
-    for node, text in _distinct_texts(batches):
-        found = shingle_set(text)
-        part = found % np.uint64(PARTS)
-        columns = [pa.array([node] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int64()), pa.array([len(found)] * PARTS, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([found[part == k].tobytes() for k in range(PARTS)], pa.binary())], ["node", "part", "n", "shingles"])
-
-
-def _close_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and sketches allow the similarity."""
-    for batch in batches:
-        keep = pa.array([_may_be_alike(*x) for x in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-
-def _both_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles the parts of two sets have in common."""
-    for batch in batches:
-        a, b = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(k)] for k in (3, 4))
-        both = [len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(both, pa.int64())], ["a", "b", "n", "both"])
+def _like_sizes(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
 
-def _apart_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket: pairs in one bucket and several components whose sizes and folded sketches allow the similarity.
+def _candidate_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket, role and node: a forest of the links whose sizes and fingerprints allow the similarity.
 
-    A bucket that the end of a batch cuts waits for the next batch.
+    What one component ``c`` holds is taken as linked.  A bucket that the end of a batch cuts waits for the next batch.
     """
     held: tuple[np.ndarray, ...] | None = None
+    seen = _Seen()
+
+    def large(role: np.ndarray, node: np.ndarray, n: np.ndarray, c: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int]]:
+        label = np.unique(c, return_inverse=True)[1]
+        left = np.flatnonzero(role <= 0)
+        some = left[:1]  # first all with one, then those that are still apart from it
+        while len(some) and (label != label[0]).any():
+            near = wide_close_to(prints[some], prints)
+            for u, row in zip(some.tolist(), near, strict=True):
+                for j in np.flatnonzero(row & (label != label[u]) & _like_sizes(n, n[u])).tolist():
+                    if label[j] != label[u]:
+                        yield int(node[u]), int(node[j])
+                        label[label == label[j]] = label[u]
+            left = left[len(some) :]
+            if len(some) == 1:
+                most = np.bincount(label).argmax()
+                left = left[label[left] != most] if label[some[0]] == most else left
+            some = left[:TOGETHER]
 
-    def pairs(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        bucket, node, n, c, fold = part
-        out = [np.zeros((2, 0), np.int64)]
-        i = np.arange(len(bucket))
-        for d in range(1, len(bucket)):  # a diagonal of all buckets at a time
-            i = i[i < len(bucket) - d]
-            i = i[bucket[i] == bucket[i + d]]
-            if not len(i):
-                break
-            j = i + d
-            small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            some = (c[i] != c[j]) & (node[i] != node[j]) & (5 * small >= 4 * large)
-            x, y = i[some], j[some]
-            near = 9 * np.bitwise_count(fold[x] ^ fold[y]).sum(axis=1, dtype=np.int64) <= n[x] + n[y]
-            a, b = node[x[near]], node[y[near]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def links(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        bucket, role, node, n, c, prints = part
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        sizes = np.diff(np.append(begin, len(bucket)))
+        found: list[tuple[int, int]] = []
+        for least, most in ((2, 4), (5, 16), (17, TOGETHER)):
+            chosen = np.flatnonzero((sizes >= least) & (sizes <= most))
+            if not len(chosen):
+                continue
+            size = sizes[chosen]
+            rows = np.repeat(begin[chosen] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            pairs = wide_close_pairs(prints[rows], np.repeat(np.cumsum(size) - 1, size))
+            alike = ((i[keep], j[keep]) for i, j in pairs for keep in [_like_sizes(n[rows[i]], n[rows[j]]) & (c[rows[i]] != c[rows[j]])])
+            found += [(int(node[rows[i]]), int(node[rows[j]])) for i, j in _forest(alike, len(rows))]
+        for k in np.flatnonzero(sizes > TOGETHER).tolist():
+            found += large(*(x[begin[k] : begin[k] + sizes[k]] for x in part[1:]))
+        found = [x for x in found if seen.new(*x)]
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        words = b"".join(batch.column(4).to_pylist())
-        new = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)), np.frombuffer(words, np.uint64).reshape(batch.num_rows, -1))
+        words = b"".join(batch.column(5).to_pylist())
+        new = (*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)), np.frombuffer(words, "<u8").reshape(batch.num_rows, -1))
         part = new if held is None or not len(held[0]) else tuple(np.concatenate(x) for x in zip(held, new, strict=True))
         cut = int(np.flatnonzero(np.diff(part[0]))[-1]) + 1 if len(part[0]) and part[0][0] != part[0][-1] else 0
-        if cut and len(part[0]) >= 4096:
-            yield pairs(tuple(x[:cut] for x in part))
+        if cut and len(part[0]) >= 16_384:
+            yield links(tuple(x[:cut] for x in part))
             part = tuple(x[cut:] for x in part)
         held = part
     if held is not None and len(held[0]):
-        yield pairs(held)
+        yield links(held)
 
 
-def _apart(named: DataFrame, folds: DataFrame) -> DataFrame:
-    """(a, b): texts of different components that share a first shingle and may be alike.
+def _decided(rows: list[tuple[int, int, int]], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """A forest of the links of a Jaccard similarity of at least 0.8 between (role, node, component) with these sets.
 
-    Large groups are dealt out as pairs of sub-blocks, and only pairs that sizes and sketches leave go out.
+    Rows with a positive role are only met by others; what one component holds is taken as linked.
     """
-    groups = named.groupBy("s").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("rows")).where("low != high")
-    rows = named.join(groups.select("s", "rows"), "s").join(folds, "node")
-    dealt = (
-        rows.withColumn("g", F.ceil(F.col("rows") / BUCKET).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select(F.xxhash64("s", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "n", "c", "fold")
-    )
-    n = max(partitions(named.sparkSession), 1)
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "node").mapInArrow(_apart_batches, "a long, b long").distinct()
+    n = np.array([len(x) for x in sets])
+    label = np.unique([c for *_, c in rows], return_inverse=True)[1]
+    prints = np.stack([wide_print(x) for x in sets]) if len(rows) > 8 else None
+    done = np.zeros(len(rows), bool)
+    for u, (role, node, _) in enumerate(rows):
+        if role > 0 or (label == label[0]).all():
+            break
+        near = (label != label[u]) & ~done & _like_sizes(n, n[u])
+        if prints is not None:
+            near &= np.bitwise_count(prints ^ prints[u]).sum(axis=1, dtype=np.int64) <= COPY_RADIUS
+        done[u] = True
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        others = np.concatenate([sets[j] for j in at])
+        place = np.minimum(np.searchsorted(sets[u], others), n[u] - 1)
+        both = np.add.reduceat(sets[u][place] == others, np.cumsum(n[at]) - n[at], dtype=np.int64)
+        for j in at[9 * both >= 4 * (n[at] + n[u])].tolist():
+            if label[j] != label[u]:
+                yield node, rows[j][1]
+                label[label == label[j]] = label[u]
+
+
+def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and role, with their texts: a forest of each bucket's links."""
+    before: int | None = None
+    rows: list[tuple[int, int, int]] = []
+    sets: list[np.ndarray] = []
+    seen: set[int] = set()
 
+    def links() -> pa.RecordBatch:
+        found = list(_decided(rows, sets)) if len(rows) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-def _alike(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs whose Jaccard similarity is at least 0.8: by sketches first, and what they leave by whole sets."""
+    for batch in batches:
+        for bucket, role, node, c, text in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+            if bucket != before:
+                yield links()
+                before, rows, sets, seen = bucket, [], [], set()
+            if node not in seen:
+                seen.add(node)
+                rows.append((role, node, c))
+                sets.append(shingle_set(text.as_buffer().to_pybytes()))
+    yield links()
+
+
+def _forests(rows: DataFrame, weights: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b): links that connect what all links inside the groups of ``rows`` (key, node, ...) connect.
+
+    ``weights`` (key, g, lead) tells into how many blocks a group that is too large for a task is dealt, and a node
+    that goes into each of them; ``decide`` takes rows with a bucket, a role and a component c.  What then still is
+    apart from the largest component of such a group is met with the whole group, a block with a block at a time.
+    """
+    weights, n = bounded(weights, MANY)
+    own = F.pmod(F.xxhash64("node"), F.coalesce("g", F.lit(1))).cast("int")
+    blocks = F.when(F.col("node") == F.col("lead"), F.sequence(F.lit(0), F.col("g") - 1)).otherwise(F.array(own))
+    first = rows.join(weights, "key", "left").withColumn("c", F.col("node")).withColumn("role", F.when(F.col("node") == F.col("lead"), -1).otherwise(0)).withColumn("block", F.explode(blocks))
+    found = checkpoint(decide(first.withColumn("bucket", F.xxhash64("key", "block"))))
+    if not n:
+        return found
+    of = components(found)
+    within = rows.join(weights, "key").join(of, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    sums = within.select("key", "node", "c").distinct().groupBy("key", "c").agg(F.count(F.lit(1)).alias("rows"))
+    sums = sums.groupBy("key").agg(F.max_by("c", F.struct("rows", "c")).alias("main"), (F.sum("rows") - F.max("rows")).alias("others")).where("others > 0")
+    sums, n = bounded(sums.select("key", "main", F.ceil(F.col("others") / BUCKET).cast("int").alias("h")), MANY)
+    if not n:
+        return found
+    open_ = within.join(sums, "key").withColumn("own_g", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("own_h", F.pmod(F.xxhash64("node"), F.col("h")).cast("int"))
+    apart = open_.where("c != main").withColumn("role", F.lit(0)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("bucket", F.xxhash64("key", "own_h", "block"))
+    every = open_.withColumn("role", F.lit(1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("bucket", F.xxhash64("key", "block", "own_g"))
+    return found.unionByName(checkpoint(decide(apart.unionByName(every))))
+
+
+def _in_buckets(rows: DataFrame, *columns: str) -> DataFrame:
+    n = max(partitions(rows.sparkSession), 1)
+    return rows.select("bucket", "role", *columns).repartition(n, "bucket").sortWithinPartitions("bucket", "role", "node")
+
+
+def candidates(firsts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b): links that connect all texts with a first shingle in common and fingerprints within the radius.
+
+    firsts: key (shingle) and node; prints: node, n and print, one row a node.
+    """
+    n = max(partitions(firsts.sparkSession), 1)
+    shared = checkpoint(firsts.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(_shared_batches, "key long, node long"))
+    large = shared.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("lead")).where(F.col("rows") > BUCKET)
+    large = large.select("key", F.ceil(F.col("rows") / BUCKET).cast("int").alias("g"), "lead")
+    return _forests(shared.join(prints, "node"), large, lambda rows: _in_buckets(rows, "node", "n", "c", "print").mapInArrow(_candidate_batches, "a long, b long"))
 
-    def both(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        for x in "ab":
-            pairs = pairs.join(of.select(F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in of.columns[1:])), x)
-        return pairs
 
-    close = checkpoint(both(pairs, sketches).select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_close_batches, "a long, b long"))
-    needed, _ = bounded(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), NODES)
-    sets = texts.join(needed, "node", "left_semi").mapInArrow(_set_batches, "node long, part long, n long, shingles binary")
-    sets = staged(sets.dropDuplicates(["node", "part"]), "shingles")
-    of = [sets.select(F.col("node").alias(x), "part", F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"of_{x}")) for x in "ab"]
-    rows = close.join(of[0], "a").join(of[1], ["b", "part"]).select("a", "b", F.expr("n_a + n_b").alias("n"), "of_a", "of_b")
-    sums = rows.mapInArrow(_both_batches, "a long, b long, n long, both long").groupBy("a", "b", "n").agg(F.sum("both").alias("both"))
-    return sums.where("9 * both >= 4 * n").select("a", "b")
+def alike(groups: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that connect the texts of a group (node, component) whose Jaccard similarity is at least 0.8, by whole sets."""
+    keys = groups.select("node", F.col("component").alias("key"))
+    keys = keys.unionByName(keys.select(F.col("key").alias("node"), "key").distinct())
+    keys, _ = bounded(keys, NODES)
+    large = prints.join(keys, "node").groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    g = F.ceil(F.greatest(F.col("rows") / BUCKET, F.col("n") / HELD)).cast("int")
+    large = large.select("key", g.alias("g"), F.col("key").alias("lead")).where("g > 1")
+    rows = texts.join(keys, "node").select("node", "key", "text").mapInArrow(_once_batches, "node long, key long, text binary")
+    return _forests(rows, large, lambda rows: _in_buckets(rows, "node", "c", "text").mapInArrow(_alike_batches, "a long, b long"))
 
 
 def text_hash(column: str = "text") -> Column:
@@ -540,11 +700,13 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, component_id, component_text) for every document.
 
     Texts are linked where the Jaccard similarity of their sets of five-word shingles is at least 0.8;
-    a group is named by its smallest (doc_id, text hash), a null doc_id after all others.  No such pair is missed: under one order of all
-    shingles, the first fifth of each set, and one more, have an element in common.  Common shingles
-    come last in that order, which only saves work.  Texts that share such an element are first compared
-    with one or a few of those that have it; what is then still apart is compared in blocks by size and folded
-    sketch, and what they leave, by whole sets.
+    a group is named by its smallest (doc_id, text hash), a null doc_id after all others.  Candidates are found by
+    SimHash: fingerprints of ``COPY_BITS`` bits, compared by bit planes.  No block of bits must agree at
+    such a similarity, so buckets hold the texts that share a first shingle instead: under one order of all
+    shingles, the first fifth of each set of such a pair, and one more, have an element in common.  Common shingles
+    come last in that order, which only saves work.  Such texts differ in some 15 % of the bits (at most 19 %, for the
+    smallest sets); that one of a pair is beyond ``COPY_RADIUS`` has a chance of less than 1e-14.  Only forests of the
+    candidate links go out; each of their components is then decided by whole sets.
     """
     names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("node"))
     texts = docs.select(text_hash().alias("node"), utf8("text").alias("text"))
@@ -552,19 +714,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     frequent = some.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST_COMMON).collect()
     common, counts = np.array([r.s for r in frequent], np.int64).view(np.uint64), np.array([r["count"] for r in frequent], np.int64)
     order = np.argsort(common)
-    sketched = staged(texts.mapInArrow(_sketch_batches(common[order], counts[order]), "node long, n long, bits binary, fold binary, firsts binary"), "sketches")
-    sketches = sketched.select("node", "n", "bits").dropDuplicates(["node"])
-    firsts = sketched.select("node", "n", "firsts").mapInArrow(_first_batches, "s long, node long, n long")
-    spread = firsts.repartition(max(partitions(docs.sparkSession), 1), "s").sortWithinPartitions("s", "node")
-    shared = checkpoint(spread.mapInArrow(_shared_batches, "s long, node long, n long, hub long"))
-    first = checkpoint(shared.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    found = checkpoint(_alike(first, sketches, texts))
-    of = checkpoint(components(found))
-    named = shared.select("s", "node", "n").join(of, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("c"))
-    folds = sketched.select("node", "fold").dropDuplicates(["node"])
-    second = checkpoint(_apart(named, folds).join(first, ["a", "b"], "left_anti"))
-    more = checkpoint(_alike(second, sketches, texts))
-    of = components(found.unionByName(more)) if more.take(1) else of
+    printed = staged(texts.mapInArrow(_print_batches(common[order], counts[order]), "node long, n long, print binary, firsts binary"), "prints")
+    prints = printed.select("node", "n", "print").dropDuplicates(["node"])
+    firsts = printed.select("node", "firsts").mapInArrow(_first_batches, "key long, node long")
+    groups = checkpoint(components(candidates(firsts, prints)))
+    of = checkpoint(components(alike(groups, prints, texts)))
 
     last = (1 << 63) - 1  # a null doc_id comes after all others
     least = names.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("doc_id"), F.count(F.lit(1)).alias("n"))

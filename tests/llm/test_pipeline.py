@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -100,3 +101,40 @@ def test_near_copies_of_four_fifths(spark, monkeypatch, bucket):
     docs = spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert 60 < len(want) < len(rows) - 20
     assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == want
+
+
+def test_wide_fingerprints_by_bit_planes():
+    simhash, r = corpus_pipeline.simhash, np.random.default_rng(1)
+    base = r.integers(0, 1 << 63, (5, 4), dtype=np.uint64)
+    flips = [np.packbits(np.isin(np.arange(256), r.choice(256, r.integers(0, 120), replace=False))).view(np.uint64) for _ in range(200)]
+    prints = np.array([base[k % 5] ^ f for k, f in enumerate(flips)])
+    last = np.repeat([69, 70, 199], [70, 1, 129])
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2)
+    for radius in (0, 5, simhash.COPY_RADIUS, 150):
+        got = {(int(a), int(b)) for i, j in simhash.wide_close_pairs(prints, last, radius) for a, b in zip(i, j, strict=True)}
+        assert got == {(a, b) for a in range(200) for b in range(a + 1, last[a] + 1) if apart[a, b] <= radius}
+        assert (simhash.wide_close_to(prints[5:40], prints, radius) == (apart[5:40] <= radius)).all()
+
+
+@pytest.mark.parametrize("bucket", [2048, 16])
+def test_links_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch, bucket):
+    simhash, r = corpus_pipeline.simhash, random.Random(7)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    base = [f"w{k}" for k in range(1300)]
+    rows = []
+    for k in range(60):  # candidates of one another, but not alike
+        other = [f"v{r.randint(0, 10**6)}" if r.random() < 0.05 else w for w in base]
+        rows.append((k, " ".join(other)))
+    rows += [(100 + k, rows[k % 3][1] + f" x{k}") for k in range(9)]
+    sent = []
+
+    def counted(df, original=simhash.checkpoint):
+        out = original(df)
+        if df.columns == ["a", "b"]:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpoint", counted)
+    got = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == {**{k: k for k in range(60)}, **{100 + k: k % 3 for k in range(9)}}
+    assert sent and max(sent) <= 5 * len(rows)
