@@ -106,9 +106,9 @@ class Network:
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
         """context: a row of table rows for each place around the tokens."""
-        x = self.tables[context[0]]
+        x = self.tables.take(context[0], axis=0, mode="clip")  # no row is beyond the table; unlike the default, not buffered
         for c in context[1:]:
-            x += self.tables[c]
+            x += self.tables.take(c, axis=0, mode="clip")
         x += self.bias
         return np.tanh(x, out=x)
 
@@ -117,8 +117,7 @@ class Network:
         columns = np.empty((2, len(classes)), np.int64)
         np.divmod(classes, BASE, out=(columns[0], columns[1]))
         z = h @ self.weights
-        z[:, :BASE] += self.first
-        z[:, BASE:] += self.second[columns[0]]
+        z += np.concatenate([np.broadcast_to(self.first, (BASE, BASE)), self.second], axis=1).take(columns[0], axis=0, mode="clip")
         columns[1] += BASE
         with np.errstate(over="ignore"):
             out = np.exp(z)
@@ -130,9 +129,10 @@ class Network:
 
     def log_probability(self, tokens: np.ndarray, context: np.ndarray) -> np.ndarray:
         z, sums, columns = self.outputs(self.hidden(context), self.classes[tokens])
-        ratio = np.take_along_axis(z, columns.T, 1).astype(float)
-        ratio /= sums
-        return np.log(np.maximum(ratio[:, 0] * ratio[:, 1], 1e-300)) + self.shares[tokens]
+        columns += np.arange(len(tokens)) * z.shape[1]
+        ratio = z.take(columns).astype(float)
+        ratio /= sums.T
+        return np.log(np.maximum(ratio[0] * ratio[1], 1e-300)) + self.shares[tokens]
 
 
 class Learner:
@@ -161,12 +161,12 @@ class Learner:
         z, sums, columns = net.outputs(h, classes)
         each = np.float32(1) / np.float32(n)
         z *= (each / sums) @ _DIGITS.T
-        z[np.arange(n), columns] -= each
+        z.reshape(-1)[columns + np.arange(n) * z.shape[1]] -= each
         back = (z @ net.weights.T) * (1 - h * h)
         one = np.ones(n, np.float32)
         self._move(2, h.T @ z)
         self._move(3, (one @ z)[:BASE])
-        self._scatter(4, columns[0].astype(np.int16), z[:, BASE:])
+        self._move(4, (columns[0] == np.arange(BASE)[:, None]).astype(np.float32) @ z[:, BASE:])  # no gradient, no move
         self._move(1, one @ back)
         self._scatter(0, context.ravel(), back)
 
