@@ -37,6 +37,7 @@ BUCKET = 2048
 WIDTHS = (13, 13, 13, 13, 12)
 SLICE = 1 << 20  # bytes of a text that are hashed at a time
 MANY = 1_000_000  # large buckets that are sent to every executor at most
+ALONE = 200_000  # links that one task unites at most; beyond that, in rounds of shuffles
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -260,15 +261,37 @@ def links(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _united_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links at once: (node, component) of every node that is not the smallest of its component."""
+    held = [[batch.column(k).to_numpy() for k in (0, 1)] for batch in batches]
+    if not held:
+        return
+    ends = np.concatenate([np.concatenate(x) for x in zip(*held, strict=True)])
+    nodes, at = np.unique(ends, return_inverse=True)
+    x, y = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while len(x):
+        u, v = root[x], root[y]
+        apart = u != v
+        x, y, u, v = x[apart], y[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[k]) for k in (other, root[other])], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, by alternating large and small stars.
+    """(node, component), stored: the smallest node reachable, by alternating large and small stars.
 
-    Each round is a min-aggregation and a join, checkpointed into the shared folder; the number
-    of rounds grows with the logarithm of the longest chain.
+    Up to ``ALONE`` links meet in one task.  Beyond that, each round is min-aggregations and joins; what they yield is
+    checkpointed into the shared folder, so that nothing is derived twice.  The number of rounds grows with the
+    logarithm of the longest chain.  A round costs some ten shuffles, each with a task and files for every
+    partition, however few the links are.
     """
 
     def star(sym: DataFrame) -> DataFrame:
-        least = sym.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = checkpoint(sym.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
         return join_counted(sym, least.select("a", "n", F.least("a", "m").alias("m")), "a")
 
     def marks(e: DataFrame) -> tuple:
@@ -276,9 +299,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     e = checkpoint(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = marks(e)
-    while before[0]:
+    if before[0] <= ALONE:
+        return checkpoint(e.coalesce(1).mapInArrow(_united_batches, "node long, component long"))
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = checkpoint(star(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct())
         low = star(large)
         small = low.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e = checkpoint(small.where("a != b").distinct())
@@ -717,8 +742,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     printed = staged(texts.mapInArrow(_print_batches(common[order], counts[order]), "node long, n long, print binary, firsts binary"), "prints")
     prints = printed.select("node", "n", "print").dropDuplicates(["node"])
     firsts = printed.select("node", "firsts").mapInArrow(_first_batches, "key long, node long")
-    groups = checkpoint(components(candidates(firsts, prints)))
-    of = checkpoint(components(alike(groups, prints, texts)))
+    groups = components(candidates(firsts, prints))
+    of = components(alike(groups, prints, texts))
 
     last = (1 << 63) - 1  # a null doc_id comes after all others
     least = names.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("doc_id"), F.count(F.lit(1)).alias("n"))

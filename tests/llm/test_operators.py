@@ -121,6 +121,40 @@ def test_long_chain_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100}
 
 
+@pytest.mark.parametrize("alone", [0, simhash.ALONE])
+def test_components_of_random_links(spark, monkeypatch, alone):
+    monkeypatch.setattr(simhash, "ALONE", alone)
+    r = random.Random(4)
+    edges = [(r.randint(-150, 150), r.randint(-150, 150)) for _ in range(130)] + [(k, k + 1000) for k in (1 << 62, -(1 << 62))]
+    group = {x: x for e in edges for x in e}
+    for a, b in edges:
+        low, high = sorted((group[a], group[b]))
+        group = {x: low if c == high else c for x, c in group.items()}
+    got = simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x.node: x.component for x in got} == {x: c for x, c in group.items() if x != c} and len(got) == len({x.node for x in got})
+    assert simhash.components(spark.createDataFrame([(5, 5)], "a long, b long")).collect() == []
+
+
+def test_few_links_take_few_tasks(spark):
+    """Every task of a shuffle leaves files and events, however few rows it has: 30 partitions, 40 links."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long").coalesce(1)
+    settings = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        context.setJobGroup("few-links", "")
+        assert simhash.components(edges).count() == 40
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for j in tracker.getJobIdsForGroup("few-links") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(info.numCompletedTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert 0 < tasks <= 5 * 30
+
+
 # ------------------------------------------------------------------ sharding
 
 
